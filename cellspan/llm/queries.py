@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.llm import exact_dedup, language_id, multiset_hash, packing, simhash, token_counts
+from cellspan.llm import bpe, exact_dedup, language_id, multiset_hash, packing, simhash, token_counts
 from cellspan.llm.common import documents
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir)))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = multiset_hash.edited_neighbours(documents(spark, sf_dir))
     return rows.select(
