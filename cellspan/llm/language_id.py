@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from cellspan.llm.common import text_or_empty
 
 BUCKETS, ORDERS, SCALE, PER_LANGUAGE, UNKNOWN = 1 << 16, (1, 2, 3), 200.0, 4_000, "und"
+#: Rows below this score are rejected by :func:`keep_known`.
+LEAST_SCORE = 0.5
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 #: Numbers (characters x languages) that are gathered in one go.
@@ -180,3 +182,17 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     predict = predictor(df.sparkSession, model)
     found = df.select(F.col(id_col), held_out(id_col).alias("held_out"), predict(text_or_empty(text_col)).alias("found"))
     return found.select(F.col(id_col), "held_out", "found.lang_pred", "found.score")
+
+
+def keep_known(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE, per_language: int = PER_LANGUAGE
+) -> DataFrame:
+    """The rows with a recognised language (a score of ``least`` at least), with all their columns; learns from all of them.
+
+    Without any row to learn from nothing can be recognised, and only rows without a letter go.
+    """
+    model = fit(df, id_col, text_col, lang_col, per_language)
+    if not model.languages:
+        return df.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    found = predictor(df.sparkSession, model)(text_or_empty(text_col))
+    return df.where((found["lang_pred"] != UNKNOWN) & (found["score"] >= least))

@@ -237,3 +237,9 @@ def classify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     score = scorer(df.sparkSession, fit(df, id_col, text_col))
     found = df.select(F.col(id_col), score(text_or_empty(text_col)).alias("s"))
     return found.select(F.col(id_col), "s.posterior", "s.score", (F.col("s.score") >= threshold).alias("kept"))
+
+
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score reaches the threshold, with all their columns."""
+    score = scorer(df.sparkSession, fit(df, id_col, text_col))
+    return df.where(score(text_or_empty(text_col))["score"] >= threshold)

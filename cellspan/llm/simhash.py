@@ -210,17 +210,49 @@ def hex_digits(column: str) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
+def _component_of_print(table: DataFrame, radius: int) -> DataFrame:
+    """``(fingerprint, component)`` of each distinct fingerprint; written, so that joins with it are dealt afresh."""
+    # One row for each distinct fingerprint; copies meet it only by partial aggregates.
+    distinct = materialise(table.select("fingerprint").distinct(), "distinct-fingerprints")
+    linked = link_components(distinct, radius)
+    of_print = distinct.join(linked, distinct.fingerprint == linked.node, "left")
+    return materialise(of_print.select("fingerprint", F.coalesce("component", "fingerprint").alias("component")), "fingerprint-components")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
     """``(id, fingerprint, component_id)`` of every row."""
     made = df.select(F.col(id_col).alias("id"), fingerprint_column(words)(text_or_empty(text_col)).alias("fingerprint"))
     table = materialise(made, "fingerprints")
-    # One row for each distinct fingerprint from here on; copies meet it only by partial aggregates.
-    distinct = materialise(table.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    linked = link_components(distinct, radius)
-    of_print = distinct.join(linked, distinct.fingerprint == linked.node, "left").select(
-        "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component")
-    )
-    of_print = materialise(of_print, "fingerprint-components")
-    least = materialise(of_print.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
-    named = materialise(of_print.join(least, "component").select("fingerprint", "component_id"), "fingerprint-names")
+    of_print = _component_of_print(table, radius)
+    least_of_print = materialise(table.groupBy("fingerprint").agg(F.min("id").alias("least")), "print-ids")
+    met = materialise(of_print.join(least_of_print, "fingerprint"), "print-components")
+    least = materialise(met.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
+    named = materialise(met.join(least, "component").select("fingerprint", "component_id"), "fingerprint-names")
     return table.join(named, "fingerprint").select(F.col("id").alias(id_col), hex_digits("fingerprint").alias("fingerprint"), "component_id")
+
+
+_KEY, _SAME, _PRINT = "__cellspan_key", "__cellspan_same", "__cellspan_print"
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS) -> DataFrame:
+    """One row of each component, that with the smallest id, with all its columns; all rows without near duplicates stay."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    keyed = df.withColumn(_KEY, F.xxhash64(*columns))
+    table = materialise(
+        keyed.select(F.col(id_col).alias("id"), F.col(_KEY).alias("key"), fingerprint_column(words)(text_or_empty(text_col)).alias("fingerprint")), "fingerprints"
+    )
+    of_print = _component_of_print(table, radius)
+    # The best row of each fingerprint first, then that of each component: only one row a fingerprint is shuffled.
+    best = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "key")).alias("best")
+    of_each = materialise(table.groupBy("fingerprint").agg(best), "best-of-print").join(of_print, "fingerprint")
+    chosen = of_each.groupBy("component").agg(F.min("best").alias("best")).select("best.id", "best.key")
+    # Rows that are equal in every column have one key; how many there are says whether one has to be picked.
+    same = table.groupBy("id", "key").agg(F.count("*").alias("n"))
+    chosen = materialise(chosen.join(same, chosen.id.eqNullSafe(same.id) & (chosen.key == same.key)).select(chosen.id.alias(_PRINT), chosen.key.alias(_SAME), "n"), "chosen")
+
+    def rows(which: DataFrame) -> DataFrame:
+        return keyed.join(which, (F.col(_KEY) == F.col(_SAME)) & F.col(id_col).eqNullSafe(F.col(_PRINT)), "left_semi").drop(_KEY)
+
+    alone = rows(chosen.where("n = 1"))
+    several = chosen.where("n > 1")
+    return alone if several.isEmpty() else alone.unionByName(rows(several).dropDuplicates())

@@ -1,15 +1,15 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after the other: ``insult``, ``contempt``, then ``toxic`` itself.  Each is a linear model
-over hashed words (present or not) and the probabilities of the categories before it.  In training these probabilities
+over hashed words and word beginnings (present or not) and the probabilities of the categories before it.  In training these probabilities
 are out-of-fold predictions (``FOLDS`` folds by a hash of the id), so that a later model learns how far it can trust an earlier one; what
 predicts is fitted on all folds.
 
 Given labels say only ``toxic``.  The two finer categories are toxic texts that hold a word of a short list of insults for
 persons, or of words of contempt; the lists serve to label training texts and are not used in predictions.
 
-Words enter a model only if they tell the classes apart (a signed chi-square above ``EVIDENCE``, in at least ``LEAST`` toxic texts, the
-``WORDS`` best), judged on the fold's training rows alone, so long clean texts gather no weight from chance words.  The
+Beginnings of four to six letters catch the inflected forms of a word.  Words and beginnings enter a model only if they tell the classes apart (a signed chi-square above ``EVIDENCE``, in at least ``LEAST`` toxic texts, the
+``WORDS`` best, and one of those that the same texts have), judged on the fold's training rows alone, so long clean texts gather no weight from chance words.  The
 fit takes at most ``PER_CLASS`` labelled texts of each class (drawn by a hash of the id; a documented bound), weighted back to
 the classes' shares; scoring covers every text.
 
@@ -32,7 +32,8 @@ from cellspan.llm.common import text_or_empty
 from cellspan.llm.linear import fit_newton, sigmoid
 
 CATEGORIES = ("insult", "contempt", "toxic")
-FOLDS, PER_CLASS, WORDS, LEAST, EVIDENCE, THRESHOLD = 5, 6_000, 128, 5, 15.0, 0.5
+FOLDS, PER_CLASS, WORDS, LEAST, EVIDENCE, THRESHOLD = 5, 5_000, 160, 5, 15.0, 0.6
+BEGINNINGS = (4, 5, 6)
 
 # Words by which toxic training texts fall into the finer categories.
 INSULTS = ("idiot", "moron", "loser", "clown", "scum", "fool", "imbecile", "jerk", "bastard", "whore", "pig", "liar")
@@ -45,9 +46,14 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
+def _of_word(word: str) -> list[int]:
+    """32-bit hashes of a word and its beginnings: columns of the hashed feature space; models keep a few of them."""
+    raw = word.encode("utf-8", "surrogatepass")
+    return [crc32(raw), *(crc32(b"^" + word[:k].encode("utf-8", "surrogatepass")) for k in BEGINNINGS if len(word) > k)]
+
+
 def hashed(words) -> np.ndarray:
-    """32-bit hashes of words: the columns of the hashed feature space; models keep a few of them."""
-    return np.unique(np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32))
+    return np.unique(np.fromiter((h for w in words for h in _of_word(w)), np.uint32))
 
 
 def evidence(columns: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -59,19 +65,42 @@ def evidence(columns: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray
     expected = with_word * p / n
     score = (positive - expected) ** 2 / np.maximum(expected * (1 - p / n) * (1 - with_word / (n + 1)), 1e-9)
     good = np.flatnonzero((score > EVIDENCE) & (positive > expected) & (positive >= LEAST))
-    return found[good[np.argsort(-score[good], kind="stable")[:WORDS]]]
+    good = good[np.argsort(-score[good], kind="stable")]
+    # Columns that hold for exactly the same texts have the same sum of random numbers; one of them is enough.
+    same = np.bincount(place, weights=np.random.default_rng(0).random(len(y))[rows], minlength=len(found))
+    first = np.unique(np.round(same[good], 9), return_index=True)[1]
+    return found[good[np.sort(first)[:WORDS]]]
 
 
 class Chain:
     """For each category the hashes it looks at, their weights, and those of earlier probabilities and the intercept."""
 
+    #: Words whose hashes a worker remembers.
+    REMEMBERED = 200_000
+
     def __init__(self, models: list[tuple[dict[int, int], np.ndarray]]):
         self.models = models
-
-    def predict(self, hashes: np.ndarray) -> list[float]:
+        self.used = {h for place, _ in models for h in place}
+        self.seen: dict[str, tuple[int, ...]] = {}
+
+    def hashes(self, words) -> list[int]:
+        """The hashes of the words that any model looks at."""
+        found: set[int] = set()
+        if len(self.seen) > self.REMEMBERED:
+            self.seen.clear()
+        for w in words:
+            known = self.seen.get(w)
+            if known is None:
+                known = self.seen[w] = tuple(h for h in _of_word(w) if h in self.used)
+            if known:
+                found.update(known)
+        return sorted(found)
+
+    def predict(self, words) -> list[float]:
         chain: list[float] = []
+        hashes = self.hashes(words)
         for place, w in self.models:
-            at = [i for i in map(place.get, hashes.tolist()) if i is not None]
+            at = [i for i in map(place.get, hashes) if i is not None]
             k = len(place)
             chain.append(float(sigmoid(w[at].sum() + np.dot(w[k : k + len(chain)], chain) + w[-1])))
         return chain or [0.0] * len(CATEGORIES)
@@ -167,7 +196,7 @@ def predictor(spark, chain: Chain):
 
     @F.arrow_udf(", ".join(f"p_{c} double" for c in CATEGORIES))
     def predict(texts: pa.Array) -> pa.Array:
-        rows = [shared.value.predict(hashed(words_of(t.as_py()))) for t in texts]
+        rows = [shared.value.predict(words_of(t.as_py())) for t in texts]
         return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.float64()) for i in range(len(CATEGORIES))], names=[f"p_{c}" for c in CATEGORIES])
 
     return predict
