@@ -17,7 +17,9 @@ row each; equal ids are told apart by a hidden row number; an empty table gives
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,28 +33,24 @@ from cellspan.llm.common import materialise, shuffle_partitions, text_or_empty
 CAPACITY, END_ID = 1024, 2
 
 _cache: dict = {}
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("checksums are of little-endian 32-bit ids")
 
 
-def _encode(words: list[str], path: str | None) -> list[bytes]:
-    ids = pretokens.id_lists(words, path)
-    flat = np.fromiter((i for x in ids for i in x), "<u4", sum(map(len, ids))).tobytes()
-    ends = np.cumsum([len(x) for x in ids]) * 4
-    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+def _word_bytes(path: str | None):
+    encode = pretokens.word_encoder(path)
+    return lambda word: array("I", encode(word)).tobytes()
 
 
 def encode_text(text: str, path: str | None = None) -> bytes:
     """A text's ids as little-endian unsigned 32-bit integers."""
     if path not in _cache:
-        _cache[path] = pretokens.WordCache(lambda w: _encode(w, path))
-    cache, parts = _cache[path], []
-    for special, part in pretokens.segments(text, path):
-        if special:
-            parts.append(pretokens.special_pattern(path)[1][part].to_bytes(4, "little"))
-        else:
-            words = pretokens.split(part)
-            cache.add_missing(words)
-            parts += map(cache.__getitem__, words)
-    return b"".join(parts)
+        _cache[path] = pretokens.WordCache(_word_bytes(path))
+    get = _cache[path].__getitem__
+    return b"".join(
+        array("I", [pretokens.special_pattern(path)[1][part]]).tobytes() if special else b"".join(map(get, pretokens.split(part)))
+        for special, part in pretokens.segments(text, path)
+    )
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

@@ -48,10 +48,6 @@ def frequent_pretokens(df: DataFrame, text_col: str = "text", size: int = TIER1,
     return [r.word for r in ranked.collect()]
 
 
-def _lengths(words: list[str], path: str | None = None) -> list[int]:
-    return [len(ids) for ids in pretokens.id_lists(words, path)]
-
-
 _caches: dict = {}
 
 
@@ -60,7 +56,7 @@ def _cache(table) -> pretokens.WordCache:
     if table.id not in _caches:
         _caches.clear()
         path, words, lengths = table.value
-        _caches[table.id] = pretokens.WordCache(lambda w: _lengths(w, path), dict(zip(words.split("\0"), lengths, strict=True)) if lengths else {})
+        _caches[table.id] = pretokens.WordCache(length_of(path), dict(zip(words.split("\0"), lengths, strict=True)) if lengths else {})
     return _caches[table.id]
 
 
@@ -75,16 +71,13 @@ class _Table:
         return self.broadcast.value
 
 
+def length_of(path: str | None = None):
+    encode = pretokens.word_encoder(path)
+    return lambda word: len(encode(word))
+
+
 def count_text(text: str, cache: pretokens.WordCache, path: str | None = None) -> int:
-    total = 0
-    for special, part in pretokens.segments(text, path):
-        if special:
-            total += 1
-        else:
-            words = pretokens.split(part)
-            cache.add_missing(words)
-            total += sum(map(cache.__getitem__, words))
-    return total
+    return sum(1 if special else sum(map(cache.__getitem__, pretokens.split(part))) for special, part in pretokens.segments(text, path))
 
 
 def count_tokens(
@@ -93,8 +86,9 @@ def count_tokens(
     """``(id, n_bytes, n_tokens, over_limit)`` of every row, as the library for the ``.json`` vocabulary counts."""
     spark = df.sparkSession
     words = frequent_pretokens(df, text_col, tier1)
-    lengths = bytes(min(n, 255) for n in _lengths(words, path))
-    words, lengths = [w for w, n in zip(words, lengths, strict=True) if n < 255], bytes(n for n in lengths if n < 255)
+    # A word has 64 characters at most, so 256 bytes and 256 tokens; those few that don't fit a byte stay out.
+    found = [(w, n) for w, n in zip(words, map(length_of(path), words), strict=True) if n < 256]
+    words, lengths = [w for w, _ in found], bytes(n for _, n in found)
     table = _Table(spark.sparkContext.broadcast((path, "\0".join(words), lengths)), uuid.uuid4().hex)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

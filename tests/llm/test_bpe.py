@@ -46,4 +46,4 @@ def test_null_ids_decode_to_null(spark):
 def test_same_ids_as_the_json_vocabulary(doc_rows):
     words = sorted({w for r in list(doc_rows.values()) for w in pretokens.split(r.text)})
     encoder = pretokens.rank_encoder()
-    assert pretokens.id_lists(words) == [encoder.encode_ordinary(w) for w in words]
+    assert list(map(pretokens.word_encoder(), words)) == [encoder.encode_ordinary(w) for w in words]

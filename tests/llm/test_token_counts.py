@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from cellspan.llm import pretokens, token_counts
@@ -18,12 +20,23 @@ def test_empty(empty):
     assert token_counts.count_tokens(empty).count() == 0
 
 
-def test_small_caches_change_nothing(docs, doc_rows):
-    cache = pretokens.WordCache(token_counts._lengths, {"the": 1}, limit=50)
+def test_small_caches_change_nothing(doc_rows):
+    cache = pretokens.WordCache(token_counts.length_of(), {"the": 1}, limit=50)
     tokenizer = pretokens.json_tokenizer()
-    for r in list(doc_rows.values())[:20]:
+    for r in list(doc_rows.values())[:40]:
         assert token_counts.count_text(r.text, cache) == len(tokenizer.encode(r.text, add_special_tokens=False).ids)
-    assert len(cache) < 5000
+        assert len(cache) <= 51 and len(cache.old) <= 50
+
+
+def test_word_encoder_agrees_with_the_library(doc_rows):
+    rng = random.Random(7)
+    alphabet = "etaoinshrdlu" * 4 + "ABCXYZ" + "éèñßüöä" + "0123456789" + "'’.,!?*$|<>-_()" + "日本語のабвгд😀\u200b\xa0\u0301"
+    words = {w for r in doc_rows.values() for w in pretokens.split(r.text)}
+    for _ in range(4000):
+        words.update(pretokens.split("".join(rng.choice(alphabet + "  \n\t") for _ in range(rng.randint(1, 60)))))
+    words = sorted(words)
+    tokenizer, encode = pretokens.json_tokenizer(), pretokens.word_encoder()
+    assert list(map(encode, words)) == [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
 def test_split_covers_and_fast_path_agrees():
