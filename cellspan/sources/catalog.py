@@ -21,7 +21,7 @@ TSV, QC_FIGURE, UMAP_FIGURE, TSNE_FIGURE = ".tsv", "_qc.svg", "_umap.svg", "_tsn
 
 
 def crawl(spark: SparkSession, path: str, family: str) -> DataFrame:
-    """``(path)`` of all files below ``path`` that end like the family's; contents are not read."""
+    """``(path)`` of all files below ``path`` that end like the family's; contents are not read, empty files are left out."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_replace("path", "^file:/*", "/").alias("path"))
     ends = F.lit(False)
     for e in ENDINGS[family]:
