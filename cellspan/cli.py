@@ -10,13 +10,14 @@ import re
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cellspan.operators import clean, describe, qc, registry, report, select
+from cellspan.operators import clean, describe, qc, registry, report, select, specificity, specificity_figures
 from cellspan.sources import bundle, catalog
+from cellspan.sources.options import load_options, read_markers
 
 logger = logging.getLogger("cellspan")
 VERSION = "0.1.0"
 LISTS = {"list_scanpy": "scanpy", "list_cellranger": "cellranger", "list_seurat": "seurat"}
-PROCESSES = ("summary", "qc", "metric_cluster", "metric_annot", "metric_dimred")
+PROCESSES = ("summary", "qc", "metric_cluster", "metric_annot", "metric_dimred", "specificity")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -28,6 +29,9 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--qc_display", nargs="+", default=list(select.QC_DISPLAY))
     top.add_argument("--plot_celllimit", type=int, default=0, help="cells in tables and figures at most; 0: all")
     top.add_argument("--obs_cluster", nargs="+", default=list(clean.OBS_CLUSTERS))
+    top.add_argument("--options", help="YAML file of options that replace those given here")
+    top.add_argument("--partition_key", help="annotation column of the cell types; the first viable one unless given")
+    top.add_argument("--markers", help="CSV or TSV with columns celltype and gene")
     for family in ("cluster", "annot", "dimred"):
         top.add_argument(f"--metric_{family}", nargs="*", default=registry.DEFAULTS[family], help=f"of {', '.join(registry.names(family))}")
     return top
@@ -35,6 +39,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
+    if args.options:
+        args = load_options(args.options, args)
     logging.basicConfig(format="%(levelname)s %(message)s")
     logger.setLevel(logging.DEBUG if args.debug else logging.INFO)
     path = os.path.abspath(args.where[-1])
@@ -81,6 +87,8 @@ def run(spark: SparkSession, args: argparse.Namespace, name: str, path: str) ->
         metrics, wanted = _qc(atlas, args.qc_display, seurat)
         report.write_tsv(qc.ranked(metrics, wanted, args.plot_celllimit).drop("cell_id"), catalog.file_path(path, "qc", name))
         report.write_violin(metrics, catalog.file_path(path, "violin", name, catalog.QC_FIGURE))
+    elif args.process == "specificity":
+        _specificity(spark, atlas, args, args.partition_key or (keys[0] if keys else None), path)
     else:
         family = args.process.removeprefix("metric_")
         if family == "cluster":
@@ -109,5 +117,27 @@ def _qc(atlas: bundle.Bundle, display: list[str], seurat: bool):
     return metrics, select.qc_keys(metrics.columns, tuple(display))
 
 
+def _specificity(spark: SparkSession, atlas: bundle.Bundle, args: argparse.Namespace, key: str | None, path: str) -> None:
+    """The metrics of every gene, their distributions, and the summary of the markers that the atlas has."""
+    if key is None:
+        logger.warning("%s has no annotation to compare types by", atlas.name)
+        return
+    named = atlas.genes.select("gene_id", F.col("gene_name").alias("gene"))
+    means = specificity.mean_expression_once(f"{path}/{atlas.name}/{key}", atlas.cells.withColumn("celltype", F.col(f"`{key}`")), atlas.expr.join(named, "gene_id"), named)
+    table = named.select("gene")
+    for name, metric in specificity.SPECIFICITY.items():
+        table = table.join(metric(means).withColumnRenamed("value", name), "gene", "left")
+    report.write_tsv(table, catalog.file_path(path, "specificity", atlas.name))
+    for name in specificity.SPECIFICITY:
+        with open(catalog.file_path(path, "specificity", atlas.name, f"_{name}.svg"), "w", encoding="utf-8") as f:
+            f.write(specificity_figures.metric_distribution(means, name))
+    if args.markers:
+        markers = read_markers(spark, args.markers)
+        known = specificity.marker_intersection(means, markers)
+        if known.count() < markers.select("celltype", "gene").distinct().count():
+            logger.warning("markers of types or genes that %s lacks are left out", atlas.name)
+        report.marker_run(means, markers.join(known, ["celltype", "gene"], "left_semi"), spark, path, specificity.summary)
+
+
 if __name__ == "__main__":
     main()

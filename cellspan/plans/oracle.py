@@ -186,6 +186,14 @@ FROM la JOIN be USING (gene) JOIN sh USING (gene) JOIN ta USING (gene) JOIN gi U
 MARKER_INTERSECTION = f"WITH {_MEANS}, {_MARKERS} SELECT DISTINCT celltype, gene FROM mk WHERE celltype IN (SELECT celltype FROM me) AND gene IN (SELECT gene FROM me)"
 
 
+def _violin(key: str) -> str:
+    q = ", ".join(f"round(quantile_disc({key}, {p})::DOUBLE, 6) AS {n}" for n, p in (("least", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("most", 1)))
+    return f"SELECT '{key}' AS key, count({key}) AS n, {q} FROM metrics WHERE {key} IS NOT NULL"
+
+
+VIOLIN_SUMMARY = f"WITH {_SUMS} " + " UNION ALL ".join(map(_violin, ("n_genes_by_counts", "total_counts", "pct_counts_mt", "pct_counts_ribo")))
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "qc_cell_metrics": QC_CELL_METRICS,
@@ -225,4 +233,5 @@ def oracle_sql() -> dict[str, str]:
         "unpivot_gt1": _of("mx", "WHERE value > 1"),
         "specificity_summary": SPECIFICITY_SUMMARY,
         "marker_intersection": MARKER_INTERSECTION,
+        "violin_summary": VIOLIN_SUMMARY,
     }

@@ -130,6 +130,39 @@ def test_command_line(spark, old_layout, process, folder):
         assert head == ["Dimred_Sample", "obsm", "kruskal_stress", "spearman_rho"]
 
 
+def test_specificity_command(spark, old_layout, tmp_path):
+    markers = put(tmp_path / "markers.tsv", "celltype\tgene\n1\tMT-A\n2\tRPS1\n9\tG\n")
+    options = put(tmp_path / "o.yaml", "partition_key: cellranger_graphclust\n")
+    cli.main(["list_cellranger", old_layout], spark)
+    cli.main(["specificity", "pbmc", old_layout, "--markers", markers, "--options", options], spark)
+    lines = open(catalog.file_path(old_layout, "specificity", "pbmc")).read().splitlines()
+    assert lines[0].split("\t") == ["gene", "shannon", "tau", "gini"] and len(lines) == 5
+    stamp = [d for d in os.listdir(catalog.folder(old_layout, "specificity")) if os.path.isdir(os.path.join(catalog.folder(old_layout, "specificity"), d))]
+    rows = open(os.path.join(catalog.folder(old_layout, "specificity"), stamp[0], "spec_summary.tsv")).read().splitlines()
+    assert len(rows) == 3 and rows[0].startswith("gene\texpected celltype\tmost expressed celltype\tone_v_max")
+
+
+def test_options_round_trip(tmp_path):
+    from argparse import Namespace
+
+    from cellspan.sources.options import load_options, save_options
+
+    save_options(Namespace(a=[1, "x"], b=None), str(tmp_path / "o.yaml"))
+    assert vars(load_options(str(tmp_path / "o.yaml"), Namespace(a=0, c=1))) == {"a": [1, "x"], "b": None, "c": 1}
+
+
+def test_specificity_figures(spark):
+    from cellspan.operators import specificity_figures as figures
+
+    means = spark.createDataFrame([(t, g, float(v)) for g, vs in {"g<1>": (5, 1, 0), "h": (1, 2, 3), "z": (0, 0, 0)}.items() for t, v in zip("abc", vs)], "celltype string, gene string, value double")
+    bars = figures.histogram(means, bins=5).collect()
+    assert sum(r.n for r in bars) == 9 and {r.bin for r in bars} == {0, 1, 2, 3, 4} - ({3} if not any(r.bin == 3 for r in bars) else set())
+    page = figures.gene_distribution(means, "g<1>")
+    assert "g&lt;1&gt;: shannon" in page and page.count("<line") == 3
+    assert "<svg" in figures.ratio_distribution(means, "a", ["g<1>"]) and "<svg" in figures.metric_distribution(means, "tau")
+    assert {r.gene: (r.celltype, r.value) for r in figures.marker_ratios(means, ["g<1>", "z"]).collect()} == {"g<1>": ("a", 5.0)}
+
+
 def test_tabs_escape_names():
     page = report.tabbed_html("qc", {"a<b>": "violin/a.svg", "c": "violin/c.svg"})
     assert "a&lt;b&gt;" in page and page.count("display: block") == 1 and page.count("<img") == 2
