@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; one is made and set only where none is named and all runs on one machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="cellspan-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cellspan-"))
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 
