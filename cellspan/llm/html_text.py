@@ -297,5 +297,6 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     def made(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    met = rows.mapInArrow(parse, packed).repartition(ranges, "range").sortWithinPartitions("range", "order", "guest")
+    # No number of partitions here, so that adaptive execution may join small ranges in one task and one output file.
+    met = rows.mapInArrow(parse, packed).repartition("range").sortWithinPartitions("range", "order", "guest")
     return met.mapInArrow(pair, f"id {kind}, url string, text string, n_chars long").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
