@@ -75,3 +75,48 @@ def test_query_has_no_python_node(spark, sf_dir):
     assert sum(r.near_edited for r in rows) > sum(r.near_next for r in rows)
     same = [r for r in rows if r.fingerprint == r.edited_fingerprint]
     assert all(r.near_edited == 1 for r in same)
+
+
+def brute_vector(text):
+    """The vector by plain Python: 64-bit hashes of each line and each seed, summed position by position."""
+    import struct
+
+    import xxhash
+
+    m = multiset_hash
+    sums = [0] * m.WIDTH
+    for line in (text or "").split("\n"):
+        first = xxhash.xxh64_intdigest(line.encode(), 42)
+        h = [xxhash.xxh64_intdigest(struct.pack("<i", i), first) for i in range(max(m.STRONG, m.HASHES))]
+        for i in range(m.STRONG):
+            sums[i] = (sums[i] + h[i]) % (1 << 62)
+        for i in range(m.PACKS):
+            sums[m.STRONG + i] = (sums[m.STRONG + i] + (h[i // m.PACKS_A_HASH] >> (i % m.PACKS_A_HASH) & m.UNITS)) % (1 << 60)
+        sums[-1] += 1
+    return sums
+
+
+def brute_likeness(a, b):
+    m = multiset_hash
+
+    def lanes(v):
+        return [2 * (v[m.STRONG + i] >> m.LANE_BITS * k & (1 << m.LANE_BITS) - 1) - v[-1] for i in range(m.PACKS) for k in range(m.LANES_A_PACK)]
+
+    if a == b:
+        return 1.0
+    x, y = lanes(a), lanes(b)
+    whole = sum(i * i for i in x) + sum(i * i for i in y)
+    return min(1.0, max(0.0, 1 - sum((i - j) ** 2 for i, j in zip(x, y)) / whole)) if whole else 0.0
+
+
+def test_query_matches_brute_force(spark, sf_dir, docs):
+    rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
+    found = {r.doc_id: r for r in queries.op4_document_fingerprints(spark, sf_dir).collect()}
+    assert len(found) == len(rows)
+    for r, after in zip(rows, rows[1:] + rows[:1]):
+        half = len(r.text) // 2
+        edited = r.text[: len(r.text) - half] + after.text[:half]
+        own, changed, other = brute_vector(r.text), brute_vector(edited), brute_vector(after.text)
+        got = found[r.doc_id]
+        assert got.fingerprint == "".join(f"{x:016x}" for x in own) and got.edited_fingerprint == "".join(f"{x:016x}" for x in changed)
+        assert abs(got.near_edited - brute_likeness(own, changed)) < 1e-9 and abs(got.near_next - brute_likeness(own, other)) < 1e-9
