@@ -32,7 +32,7 @@ from cellspan.llm.common import text_or_empty
 from cellspan.llm.linear import fit_newton, sigmoid
 
 CATEGORIES = ("insult", "contempt", "toxic")
-FOLDS, PER_CLASS, WORDS, LEAST, EVIDENCE, THRESHOLD = 5, 5_000, 160, 5, 15.0, 0.6
+FOLDS, PER_CLASS, WORDS, LEAST, EVIDENCE, THRESHOLD = 5, 4_000, 160, 5, 15.0, 0.6
 BEGINNINGS = (4, 5, 6)
 
 # Words by which toxic training texts fall into the finer categories.
@@ -56,20 +56,19 @@ def hashed(words) -> np.ndarray:
     return np.unique(np.fromiter((h for w in words for h in _of_word(w)), np.uint32))
 
 
-def evidence(columns: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The ``WORDS`` best hashes; ``columns`` and ``rows`` hold the (hash, row) pairs of the training texts."""
-    found, place = np.unique(columns, return_inverse=True)
-    with_word = np.bincount(place, minlength=len(found)).astype(float)
-    positive = np.bincount(place, weights=y[rows], minlength=len(found))
+def evidence(columns: np.ndarray, rows: np.ndarray, y: np.ndarray, n_columns: int) -> np.ndarray:
+    """The ``WORDS`` best columns; ``columns`` and ``rows`` hold the (column, row) pairs of the training texts."""
+    with_word = np.bincount(columns, minlength=n_columns).astype(float)
+    positive = np.bincount(columns, weights=y[rows], minlength=n_columns)
     n, p = float(len(y)), float(y.sum())
-    expected = with_word * p / n
-    score = (positive - expected) ** 2 / np.maximum(expected * (1 - p / n) * (1 - with_word / (n + 1)), 1e-9)
+    expected = with_word * p / max(n, 1.0)
+    score = (positive - expected) ** 2 / np.maximum(expected * (1 - p / max(n, 1.0)) * (1 - with_word / (n + 1)), 1e-9)
     good = np.flatnonzero((score > EVIDENCE) & (positive > expected) & (positive >= LEAST))
     good = good[np.argsort(-score[good], kind="stable")]
     # Columns that hold for exactly the same texts have the same sum of random numbers; one of them is enough.
-    same = np.bincount(place, weights=np.random.default_rng(0).random(len(y))[rows], minlength=len(found))
+    same = np.bincount(columns, weights=np.random.default_rng(0).random(len(y))[rows], minlength=n_columns)
     first = np.unique(np.round(same[good], 9), return_index=True)[1]
-    return found[good[np.sort(first)[:WORDS]]]
+    return good[np.sort(first)[:WORDS]]
 
 
 class Chain:
@@ -106,42 +105,45 @@ class Chain:
         return chain or [0.0] * len(CATEGORIES)
 
 
-def _matrix(place: dict[int, int], texts: list[np.ndarray], earlier: list[np.ndarray]) -> np.ndarray:
-    x = np.zeros((len(texts), len(place) + len(earlier)))
-    for i, hashes in enumerate(texts):
-        x[i, [j for j in map(place.get, hashes.tolist()) if j is not None]] = 1.0
-    for k, p in enumerate(earlier):
-        x[:, len(place) + k] = p
-    return x
-
-
 def fit_chain(texts: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, weight: np.ndarray) -> Chain:
     """Chain of the categories in the columns of ``labels``; ``texts`` are hashed word sets."""
-    columns = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
-    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    n = len(texts)
+    hashes = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in texts])
+    found, columns, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    kept = times >= LEAST  # a word in fewer texts can't enter any model
+    inside = kept[columns]
+    columns, rows, found = (np.cumsum(kept) - 1).astype(np.int32)[columns[inside]], rows[inside], found[kept]
     earlier: list[np.ndarray] = []
     models = []
+
+    def matrix(chosen: np.ndarray) -> np.ndarray:
+        place = np.full(len(found), -1, np.int32)
+        place[chosen] = np.arange(len(chosen), dtype=np.int32)
+        at = place[columns]
+        hit = at >= 0
+        x = np.zeros((n, len(chosen) + len(earlier)))
+        x[rows[hit], at[hit]] = 1.0
+        for k, p in enumerate(earlier):
+            x[:, len(chosen) + k] = p
+        return x
+
+    def fitted(train: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        mine = train[rows]
+        number = (np.cumsum(train) - 1).astype(np.int32)
+        chosen = evidence(columns[mine], number[rows[mine]], y[train], len(found))
+        x = matrix(chosen)
+        return chosen, x, fit_newton(x[train], y[train], weight[train])
+
     for c in range(labels.shape[1]):
-        y = labels[:, c].astype(float)
-
-        def fit(train: np.ndarray, y=y) -> tuple[dict[int, int], np.ndarray]:
-            inside = train[rows]
-            renumbered = np.cumsum(train) - 1
-            chosen = evidence(columns[inside], renumbered[rows[inside]], y[train])
-            place = {int(h): i for i, h in enumerate(chosen)}
-            at = np.flatnonzero(train)
-            x = _matrix(place, [texts[i] for i in at], [p[at] for p in earlier])
-            return place, fit_newton(x, y[at], weight[at])
-
-        out = np.zeros(len(texts))
+        y, out = labels[:, c].astype(float), np.zeros(n)
         for f in range(FOLDS):
             held = fold == f
             if held.any() and not held.all():
-                place, w = fit(~held)
-                at = np.flatnonzero(held)
-                x = _matrix(place, [texts[i] for i in at], [p[at] for p in earlier])
-                out[at] = sigmoid(x @ w[:-1] + w[-1])
-        models.append(fit(np.ones(len(texts), bool)))
+                _, x, w = fitted(~held, y)
+                out[held] = sigmoid(x[held] @ w[:-1] + w[-1])
+        chosen, _, w = fitted(np.ones(n, bool), y)
+        models.append(({int(found[j]): i for i, j in enumerate(chosen)}, w))
         earlier.append(out)
     return Chain(models)
 
