@@ -1,7 +1,7 @@
 import re
 
 from test_packing import check
-from test_simhash import brute, brute_print
+from test_simhash import brute, brute_planes, near_copies
 
 import corpus_pipeline
 from cellspan.llm import exact_dedup, language_id, quality, simhash
@@ -27,7 +27,7 @@ def test_stages_match_brute_force(spark, sf_dir, docs):
     apart = stages["SimHash near-dedup"](spark, single, sf_dir).cache()
     rows = single.collect()
     ids = [r.doc_id for r in rows]
-    assert sorted(r.doc_id for r in apart.collect()) == sorted(set(brute([brute_print(r.text) for r in rows], ids)))
+    assert sorted(r.doc_id for r in apart.collect()) == sorted(set(brute([brute_planes(r.text) for r in rows], ids, near_copies)))
     assert apart.columns == docs.columns
     bins, at_least = check(apart, stages["best-fit packing"](spark, apart, sf_dir).collect())
     assert bins <= 1.03 * at_least + 1
@@ -49,8 +49,8 @@ def test_edges_pass_all_stages(spark, sf_dir, edge, empty):
 def test_one_of_each_picks_one_of_equal_rows(edge):
     found = simhash.one_of_each(edge).collect()
     rows = edge.collect()
-    prints = [brute_print(r.text) for r in rows]
-    groups = len(set(brute(prints, list(range(len(rows))))))
+    prints = [brute_planes(r.text) for r in rows]
+    groups = len(set(brute(prints, list(range(len(rows))), near_copies)))
     assert len(found) == groups
     assert sum(r.doc_id == 4 for r in found) <= 1
     deduped = exact_dedup.deduplicate(edge)

@@ -18,7 +18,29 @@ def brute_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute(prints, ids):
+def brute_planes(text):
+    """The four fingerprints of five-word shingles, by plain Python."""
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return (0, 0, 0, 0)
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(max(1, len(words) - 4))]
+    out, full = [], (1 << 64) - 1
+    for k in range(4):
+        if k:
+            for i, x in enumerate(h):
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+                x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+                h[i] = x ^ x >> 31
+        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    return tuple(out)
+
+
+def near_copies(a, b):
+    return (a[0] ^ b[0]).bit_count() <= 20 and sum((x ^ y).bit_count() for x, y in zip(a, b)) <= 42
+
+
+def brute(prints, ids, near=lambda a, b: (a ^ b).bit_count() <= 3):
     root = list(range(len(prints)))
 
     def find(i):
@@ -28,7 +50,7 @@ def brute(prints, ids):
 
     for i in range(len(prints)):
         for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
+            if near(prints[i], prints[j]):
                 root[find(i)] = find(j)
     least = {}
     for i in range(len(prints)):
@@ -58,7 +80,7 @@ def test_linked_fingerprints_over_many_groups(spark):
             prints.add(int(s))
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
-    df = spark.createDataFrame([(p,) for p in signed], "fingerprint long").repartition(5)
+    df = spark.createDataFrame([(p, p, None) for p in signed], "fingerprint long, node long, more binary").repartition(5)
     found = {r.node: r.component for r in simhash.link_components(df, 3, group=60).collect()}
     want = brute(prints, signed)
     assert [found.get(p, p) for p in signed] == want
@@ -69,13 +91,13 @@ def test_tiles_find_every_link():
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     near = base[:100] ^ (np.uint64(1) << rng.integers(0, 64, 100).astype(np.uint64))
     prints = np.unique(np.concatenate([base, near]))
-    nodes, local = simhash.local_groups(prints, None, 3, tile=32)
+    nodes, local = simhash.local_groups(simhash.Side(prints), None, 3, tile=32)
     close = np.bitwise_count(prints[:, None] ^ prints[None]) <= 3
-    assert set(nodes.tolist()) == set(prints[close.sum(axis=1) > 1].tolist())
+    assert set(nodes.view(np.uint64).tolist()) == set(prints[close.sum(axis=1) > 1].tolist())
     a, b = prints[::2].copy(), prints[1::2].copy()
-    nodes, _ = simhash.local_groups(a, b, 3, tile=32)
+    nodes, _ = simhash.local_groups(simhash.Side(a), simhash.Side(b), 3, tile=32)
     close = np.bitwise_count(a[:, None] ^ b[None]) <= 3
-    assert set(nodes.tolist()) == set(a[close.any(axis=1)].tolist()) | set(b[close.any(axis=0)].tolist())
+    assert set(nodes.view(np.uint64).tolist()) == set(a[close.any(axis=1)].tolist()) | set(b[close.any(axis=0)].tolist())
 
 
 def test_components_of_a_long_chain(spark):
@@ -93,3 +115,30 @@ def test_long_text_in_parts(monkeypatch):
 
 def test_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
+
+
+def edited(text, share, rng):
+    words = text.split()
+    for i in range(len(words)):
+        if rng.random() < share:
+            words[i] = f"new{rng.integers(0, 10**9)}"
+    return " ".join(words)
+
+
+def test_one_of_each_catches_near_copies_and_leaves_others(spark, docs):
+    rng = np.random.default_rng(8)
+    base = [r for r in docs.collect() if len(r.text.split()) > 100][:60]
+    rows = [(r.doc_id, r.text) for r in base] + [(10_000 + i, edited(r.text, 0.012, rng)) for i, r in enumerate(base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    planes = [brute_planes(t) for _, t in rows]
+    assert got == set(brute(planes, [i for i, _ in rows], near_copies))
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    alike = [(i, len(a & b) / len(a | b)) for i, (a, b) in enumerate((shingles(rows[i][1]), shingles(rows[60 + i][1])) for i in range(60))]
+    close = [i for i, j in alike if j >= 0.85]
+    assert len(close) > 30 and sum(10_000 + i not in got for i in close) >= 0.95 * len(close)
+    assert sum(r.doc_id in got for r in base) >= len({r.text for r in base}) - 3
