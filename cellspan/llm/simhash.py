@@ -4,8 +4,8 @@ A text's fingerprint has a bit for each bit that is 1 in more than half of the X
 shingles.  Fingerprints link when they differ in ``radius`` bits at most.
 
 Every distinct fingerprint is compared, exactly, with every other that can link with it.  Fingerprints are classed by their
-population count and dealt into groups of about ``GROUP``; groups whose counts differ by more than the radius
-can't link and never meet.  A pair of groups is one task's work: there both are sorted by the population counts of
+population count and dealt into groups of about ``GROUP`` with neighbouring counts; groups whose counts differ by more than the
+radius can't link and never meet.  A pair of groups is one task's work: there both are sorted by the population counts of
 their four 16-bit quarters and cut into tiles of ``TILE``; a tile pair whose ranges of these counts are farther apart than
 the radius is skipped; the others are compared by numpy's exclusive-or and bit counts.  A task does not emit links but
 contracts them at once (union of the linked fingerprints) and emits each linked fingerprint with its local group,
@@ -34,11 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellspan.llm.common import materialise, shuffle_partitions, text_or_empty
+from cellspan.llm.common import materialise, text_or_empty
 from cellspan.llm.components import components
 
 RADIUS, WORDS, SEED = 3, 3, 42
 GROUP, TILE = 1 << 15, 1 << 10
+#: A group isn't made smaller than this for the sake of parallel work.
+LEAST_GROUP = 1 << 12
 #: Groups beyond which they get larger instead of more, so that the driver's list of pairs stays below about a million.
 GROUPS = 2_000
 #: For near copies: words of a shingle, fingerprints, and the bits that may differ in the first one and in all.
@@ -170,25 +172,39 @@ def local_groups(left: Side, right: Side | None, radius: int = RADIUS, within: i
     return nodes[at], least[roots]
 
 
+def group_classes(sizes: dict[int, int], group: int) -> tuple[list[tuple[int, int]], dict[int, int], dict[int, int]]:
+    """Groups of about ``group`` rows from class sizes: neighbouring small classes together, a large class split.
+
+    Returns each group's lowest and highest class, and for each class its first group and how many it is split into.
+    """
+    ranges: list[tuple[int, int]] = []
+    first_of, parts_of = {}, {}
+    held = 0
+    for k in sorted(sizes):
+        if sizes[k] >= group:
+            parts_of[k], first_of[k], held = -(-sizes[k] // group), len(ranges), 0
+            ranges += [(k, k)] * parts_of[k]
+            continue
+        if not held or held + sizes[k] > group:
+            ranges.append((k, k))
+            held = 0
+        ranges[-1] = (ranges[-1][0], k)
+        first_of[k], parts_of[k] = len(ranges) - 1, 1
+        held += sizes[k]
+    return ranges, first_of, parts_of
+
+
 def link_components(prints: DataFrame, radius: int = RADIUS, within: int | None = None, group: int = GROUP) -> DataFrame:
     """``(node, component)`` of the rows of ``prints(fingerprint, node, more)`` that link with any other; nodes are unique longs."""
     spark = prints.sparkSession
     classed = prints.select("fingerprint", "node", "more", F.bit_count("fingerprint").alias("ones"))
     sizes = {r.ones: r["count"] for r in classed.groupBy("ones").count().collect()}  # 65 rows at most
-    group = max(group, sum(sizes.values()) // GROUPS)
-    parts = {k: -(-n // group) for k, n in sizes.items()}
-    names, pairs = {}, []
-    for k in sorted(parts):
-        for i in range(parts[k]):
-            names[k, i] = len(names)
-    for k, i in names:
-        for other in range(k, k + radius + 1):
-            pairs += [(names[k, i], names[other, j]) for j in range(parts.get(other, 0)) if other > k or j >= i]
-    starts, total = {}, 0
-    for k in sorted(parts):
-        starts[k], total = total, total + parts[k]
-    per_class = F.create_map(*[F.lit(x) for k in parts for x in (k, parts[k])]) if parts else F.create_map(F.lit(0), F.lit(1))
-    start_of = F.create_map(*[F.lit(x) for k in parts for x in (k, starts[k])]) if parts else F.create_map(F.lit(0), F.lit(0))
+    # At least a dozen groups, for parallel work on small data too.
+    total = sum(sizes.values())
+    group = max(min(group, max(LEAST_GROUP, total // 12)), total // GROUPS)
+    ranges, first_of, parts_of = group_classes(sizes, group)
+    pairs = [(i, j) for i, (_, high) in enumerate(ranges) for j in range(i, len(ranges)) if ranges[j][0] - high <= radius]
+    start_of, per_class = (F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, of[k])]) if sizes else F.create_map(F.lit(0), F.lit(1)) for of in (first_of, parts_of))
     spread = F.pmod(F.xxhash64("node"), F.element_at(per_class, F.col("ones")))
     grouped = classed.select("fingerprint", "node", "more", (F.element_at(start_of, F.col("ones")) + spread).cast("int").alias("grp"))
     meets: dict[int, list[int]] = {}
@@ -241,7 +257,7 @@ def _compared(grouped: DataFrame, shared, n_pairs: int, radius: int, within: int
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (nodes, least, name)], names=["node", "least", "pair"])
 
     wide = "pair long, side long, prints binary, nodes binary, more binary"
-    tasks = max(shuffle_partitions(grouped.sparkSession), min(n_pairs, 100_000))
+    tasks = max(1, min(n_pairs, 100_000))
     dealt = grouped.mapInArrow(deal, wide).repartition(tasks, "pair").sortWithinPartitions("pair")
     return dealt.mapInArrow(compare, "node long, least long, pair long")
 

@@ -69,7 +69,8 @@ def test_near_duplicates_match_brute_force(table, request):
     assert got == want
 
 
-def test_linked_fingerprints_over_many_groups(spark):
+def test_linked_fingerprints_over_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST_GROUP", 60)
     rng = np.random.default_rng(4)
     seeds = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     prints = {int(x) for x in rng.integers(0, 1 << 63, 400, dtype=np.uint64)}
@@ -142,3 +143,10 @@ def test_one_of_each_catches_near_copies_and_leaves_others(spark, docs):
     close = [i for i, j in alike if j >= 0.85]
     assert len(close) > 30 and sum(10_000 + i not in got for i in close) >= 0.95 * len(close)
     assert sum(r.doc_id in got for r in base) >= len({r.text for r in base}) - 3
+
+
+def test_groups_hold_neighbouring_classes():
+    ranges, first, parts = simhash.group_classes({1: 5, 2: 3, 5: 30, 6: 4, 9: 4}, 10)
+    assert ranges == [(1, 2), (5, 5), (5, 5), (5, 5), (6, 9)]
+    assert first == {1: 0, 2: 0, 5: 1, 6: 4, 9: 4} and parts == {1: 1, 2: 1, 5: 3, 6: 1, 9: 1}
+    assert simhash.group_classes({}, 10) == ([], {}, {})
