@@ -4,27 +4,29 @@ Encoding has three steps, and rows in all of them are packed, because a row for
 the text:
 
 1. Texts are cut into pre-tokens with their positions, block by block (``BLOCK`` characters of whole texts).  A block's distinct
-   words are numbered by falling frequency; each text keeps the sequence of its words' numbers, which are the
+   words are numbered by falling frequency, and the block keeps the sequence of its texts' word numbers, which are the
    positions.  The words go out in packets, one for each block and hash bucket.
 2. Packets meet by bucket, over all blocks; a bucket encodes each distinct word once and answers every packet with the ids of its
    words, in the packet's order.
-3. Answers and number sequences meet by block, and each text is put together by position.
+3. Answers come back to their blocks, and each text is put together by position.
 
-What step 1 makes is written once in the shared folder, so both its readers see the same blocks, and a lost executor
-repeats single tasks.  A word that all texts hold costs one entry a block, wherever it is; no bucket gets more of it.
-Memory is bounded by a block, and by the distinct words of one bucket.
+What step 1 makes is written once in the shared folder, in buckets by block: both its readers see the same blocks, a lost executor
+repeats single tasks, and step 3 shuffles the answers alone, as the number sequences lie where they are needed.  A word
+that all texts hold costs one entry a block, wherever it is; no bucket gets more of it.  Memory is bounded by a
+block, and by the distinct words of one bucket.
 
 Decoding looks each id up in the token-byte table (a fixed vocabulary of some 50,000 entries, read by each worker from its
-file) and concatenates.
+file) and concatenates, for many texts at once.
 
 Defined results: null text is the empty text, with no ids; null and repeated ids get a row each; an empty table gives an
-empty result; other columns are ignored; special strings are ordinary text; ids outside the table raise an error.
+empty result; other columns are ignored; special strings are ordinary text; null ids decode to null, and ids outside the
+table raise an error.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -35,12 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellspan.llm import pretokens
-from cellspan.llm.common import materialise, shuffle_partitions, text_or_empty
+from cellspan.llm.common import materialise_bucketed, shuffle_partitions, text_or_empty
 
-#: Characters of a block (more only if a single text is longer), and bytes of an output batch.
-BLOCK, BATCH = 12 << 20, 4 << 20
+#: Characters of a block (more only if a single text is longer), and ids that are decoded in one go.
+BLOCK, DECODED = 8 << 20, 1 << 19
 
-_TEXTS, _WORDS = 1, 0
 _ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
@@ -77,59 +78,72 @@ def unpack_strings(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts, ends.tolist(), strict=False)] if n else []
 
 
+class _Numbers(dict):
+    """Words in the order of their first occurrence."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _split_blocks(buckets: int, kind: str):
     """Step 1; blocks are named by task and count, once and for all, as the result is written."""
-    id_type = _ID_TYPES[kind]
-    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("id", id_type), ("data", pa.binary())])
+    schema = pa.schema(
+        [("block", pa.int64()), ("part", pa.int64()), ("words", pa.binary()), ("ids", pa.list_(_ID_TYPES[kind])), ("texts", pa.binary())]
+    )
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, serial = TaskContext.get().partitionId(), 0
-        ids, words, size = [], [], 0
+        task, serial, size = TaskContext.get().partitionId(), 0, 0
+        ids, sequences, numbers = [], [], _Numbers()
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py()
+                words = pretokens.split(text)
                 ids.append(key.as_py())
-                words.append(pretokens.split(text))
+                sequences.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
                 size += len(text)
                 if size >= BLOCK:
-                    yield from block((task << 32) + serial, ids, words)
-                    ids, words, size, serial = [], [], 0, serial + 1
+                    yield block((task << 32) + serial, ids, sequences, numbers)
+                    ids, sequences, numbers, size, serial = [], [], _Numbers(), 0, serial + 1
         if ids:
-            yield from block((task << 32) + serial, ids, words)
+            yield block((task << 32) + serial, ids, sequences, numbers)
 
-    def block(name: int, ids: list, words: list[list[str]]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        for w in words:
-            counts.update(w)
+    def block(name: int, ids: list, sequences: list[np.ndarray], numbers: _Numbers) -> pa.RecordBatch:
+        sequence = np.concatenate(sequences)
+        common_first = np.argsort(-np.bincount(sequence, minlength=len(numbers)), kind="stable")
+        rank = np.empty(len(numbers), np.uint32)
+        rank[common_first] = np.arange(len(numbers), dtype=np.uint32)
         of_bucket: list[list[str]] = [[] for _ in range(buckets)]
-        number = {w: i for i, (w, _) in enumerate(counts.most_common())}
-        for w in number:
+        for w in numbers:
             of_bucket[crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
+        parts, packets, order = [], [], []
         for b, mine in enumerate(of_bucket):
             if mine:
                 mine.sort()
-                at = np.fromiter(map(number.__getitem__, mine), np.uint32, len(mine))
-                packed = pack_numbers(at)
-                data = len(packed).to_bytes(4, "little") + packed + pack_strings(mine)
-                yield row(name, _WORDS, b, None, data)
-        for i, (key, w) in enumerate(zip(ids, words, strict=True)):
-            yield row(name, _TEXTS, i, key, pack_numbers(np.fromiter(map(number.__getitem__, w), np.uint32, len(w))))
-
-    def row(name, kind, part, key, data) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((name, kind, part, key, data), schema, strict=True)], schema=schema)
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in split(batches):
-            held.append(batch)
-            size += batch.nbytes
-            if size >= BATCH:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
-        if held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    return gathered
+                order.append(np.fromiter(map(numbers.__getitem__, mine), np.int64, len(mine)))
+                parts.append(b)
+                packets.append(pack_strings(mine))
+        ranks = rank[np.concatenate(order)] if order else np.zeros(0, np.uint32)
+        lengths = np.array([len(x) for x in sequences], np.uint32)
+        texts = _join([pack_numbers(ranks), pack_numbers(lengths), pack_numbers(rank[sequence])])
+        n = len(parts)
+        columns = [[name] * (n + 1), [*parts, -1], [*packets, None], [None] * n + [ids], [None] * n + [texts]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return split
+
+
+def _join(parts: list[bytes]) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def _parts(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
 
 
 def _encode_words(path: str | None):
@@ -141,17 +155,14 @@ def _encode_words(path: str | None):
         known: dict[bytes, list[int]] = {}
         for batch in batches:
             for name, part, data in zip(*(batch.column(i) for i in range(3)), strict=True):
-                data = data.as_py()
-                size = int.from_bytes(data[:4], "little")
-                words = unpack_strings(data[4 + size :])
+                words = unpack_strings(data.as_py())
                 for w in words:
                     if w not in known:
                         known[w] = encoder.encode_single_piece(w)
                 found = [known[w] for w in words]
                 lengths = np.array([len(x) for x in found], np.uint32)
                 flat = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
-                a, b = data[4 : 4 + size], pack_numbers(lengths)
-                answer = len(a).to_bytes(4, "little") + len(b).to_bytes(4, "little") + a + b + pack_numbers(flat)
+                answer = _join([pack_numbers(lengths), pack_numbers(flat)])
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.int64()), pa.array([part.as_py()], pa.int64()), pa.array([answer], pa.binary())], schema=schema)
 
     return encode
@@ -164,74 +175,55 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
-def _reassemble(kind: str):
-    """Step 3: rows arrive by block, its answers before its texts."""
-    id_type = _ID_TYPES[kind]
-    schema = pa.schema([("id", id_type), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, answers, table = None, [], None
-        keys, ids, size = [], [], 0
-        for batch in batches:
-            for name, what, _, key, data in zip(*(batch.column(i) for i in range(5)), strict=True):
-                name, data = name.as_py(), data.as_py()
-                if name != now:
-                    now, answers, table = name, [], None
-                if what.as_py() == _WORDS:
-                    answers.append(data)
-                    continue
-                if table is None:
-                    table, answers = _table(answers), []
-                numbers = unpack_numbers(data)
-                found = ragged(table[0], table[1][numbers], table[2][numbers]).astype("<u4").tobytes()
-                keys.append(key.as_py())
-                ids.append(found)
-                size += len(found)
-                if size >= BATCH:
-                    yield made(keys, ids)
-                    keys, ids, size = [], [], 0
-        if keys:
-            yield made(keys, ids)
-
-    def made(keys, ids) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys, id_type), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+def _reassemble(kind: str, decoded: bool, path: str | None):
+    """Step 3: a block's number sequences and the answers to its packets; decodes the ids of each text too if asked."""
+    schema = pa.schema([("id", _ID_TYPES[kind]), ("n_tokens", pa.int64()), ("ids", pa.binary())] + [("decoded", pa.binary())] * decoded)
+
+    def put(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        lengths, flats = [], []
+        for data in answers.sort_by("part")["words"]:
+            a, b = _parts(data.as_py())
+            lengths.append(unpack_numbers(a))
+            flats.append(unpack_numbers(b))
+        keys, out = [], []
+        if texts.num_rows:
+            ranks, sizes, numbers = map(unpack_numbers, _parts(texts["texts"][0].as_py()))
+            flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
+            length = np.concatenate(lengths).astype(np.int64) if lengths else np.zeros(0, np.int64)
+            starts, of_rank = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
+            starts[ranks], of_rank[ranks] = np.cumsum(length) - length, length
+            keys, end = texts["ids"][0].as_py(), 0
+            for size in sizes.tolist():
+                mine = numbers[end : end + size]
+                end += size
+                out.append(ragged(flat, starts[mine], of_rank[mine]).astype("<u4").tobytes())
+        columns = [pa.array(keys, schema[0].type), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())]
+        if decoded:
+            columns.append(pa.array([decode_bytes(id_array(x), path) for x in out], pa.binary()))
+        return pa.Table.from_arrays(columns, schema=schema)
 
     return put
 
 
-def _table(answers: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all words of a block in one array; where each word's ids start in it, and how many they are."""
-    flats, numbers, lengths = [], [], []
-    for data in answers:
-        a, b = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
-        numbers.append(unpack_numbers(data[8 : 8 + a]))
-        lengths.append(unpack_numbers(data[8 + a : 8 + a + b]))
-        flats.append(unpack_numbers(data[8 + a + b :]))
-    if not answers:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    number, length = np.concatenate(numbers), np.concatenate(lengths).astype(np.int64)
-    start = np.cumsum(length) - length
-    starts, sizes = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    starts[number], sizes[number] = start, length
-    return np.concatenate(flats), starts, sizes
-
-
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``(id, n_tokens, ids)`` of every row; ``ids`` is BINARY, little-endian unsigned 32-bit integers."""
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, decoded: bool = False) -> DataFrame:
+    """``(id, n_tokens, ids)`` of every row; ``ids`` is BINARY, little-endian unsigned 32-bit integers.
+
+    With ``decoded`` the ids are decoded again where they are put together, as :func:`decode` would, into a column of that name.
+    """
     spark = df.sparkSession
     buckets = shuffle_partitions(spark)
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     if kind not in _ID_TYPES:
         raise TypeError(f"{id_col} is {kind}; ids are bigint, int or string")
-    packed = f"block long, kind int, part long, id {kind}, data binary"
-    blocks = materialise(rows.mapInArrow(_split_blocks(buckets, kind), packed), "word-blocks")
-    words = blocks.where(F.col("kind") == _WORDS).select("block", "part", "data")
-    answers = words.repartition(buckets, "part").mapInArrow(_encode_words(path), "block long, part long, data binary")
-    answers = answers.select("block", F.lit(_WORDS).alias("kind"), "part", F.lit(None).cast(kind).alias("id"), "data")
-    both = blocks.where(F.col("kind") == _TEXTS).unionByName(answers)
-    by_block = both.repartition(buckets, "block").sortWithinPartitions("block", "kind", "part")
-    made = by_block.mapInArrow(_reassemble(kind), f"id {kind}, n_tokens long, ids binary")
+    packed = f"block long, part long, words binary, ids array<{kind}>, texts binary"
+    blocks = materialise_bucketed(rows.mapInArrow(_split_blocks(buckets, kind), packed), "word-blocks", buckets, "block")
+    words = blocks.where("part >= 0").select("block", "part", "words")
+    answers = words.repartition(buckets, "part").mapInArrow(_encode_words(path), "block long, part long, words binary")
+    texts = blocks.where("part < 0").select("block", "ids", "texts")
+    made = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _reassemble(kind, decoded, path), f"id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded
+    )
     return made.withColumnRenamed("id", id_col)
 
 
@@ -239,13 +231,43 @@ def id_array(ids: bytes) -> np.ndarray:
     return np.frombuffer(ids, "<u4")
 
 
+@lru_cache(2)
+def _flat_table(path: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes in one array, and each id's start and length in it (-1 for ids that aren't there)."""
+    table = pretokens.token_bytes(path)
+    lengths = np.full(max(table) + 1, -1, np.int64)
+    for i, raw in table.items():
+        lengths[i] = len(raw)
+    sizes = np.maximum(lengths, 0)
+    flat = np.frombuffer(b"".join(table.get(i, b"") for i in range(len(sizes))), np.uint8)
+    return flat, np.cumsum(sizes) - sizes, lengths
+
+
+def decode_bytes(ids: np.ndarray, path: str | None = None) -> bytes:
+    flat, starts, lengths = _flat_table(path)
+    out = []
+    for begin in range(0, len(ids), DECODED):
+        part = ids[begin : begin + DECODED]
+        if part.max() >= len(lengths) or (lengths[part] < 0).any():
+            raise ValueError("an id that the vocabulary does not have")
+        out.append(ragged(flat, starts[part], lengths[part]).tobytes())
+    return out[0] if len(out) == 1 else b"".join(out)
+
+
 def decoder(path: str | None = None):
     """Function of a column of ids (as :func:`encode` returns them) that gives the decoded bytes."""
 
     @F.arrow_udf("binary")
     def decode_ids(column: pa.Array) -> pa.Array:
-        table = pretokens.token_bytes(path)
-        return pa.array([None if x is None else b"".join(map(table.__getitem__, id_array(x).tolist())) for x in column.to_pylist()], pa.binary())
+        # Rows go straight into one buffer, so that a batch is held once and not as objects besides.
+        data, ends = bytearray(), np.zeros(len(column) + 1, np.int32)
+        for i, x in enumerate(column):
+            if x.is_valid:
+                data += decode_bytes(id_array(x.as_buffer()), path)
+            ends[i + 1] = len(data)
+        missing = column.is_null().to_numpy(zero_copy_only=False)
+        valid = None if not missing.any() else pa.array(~missing).buffers()[1]
+        return pa.Array.from_buffers(pa.binary(), len(column), [valid, pa.py_buffer(ends), pa.py_buffer(data)])
 
     return decode_ids
 

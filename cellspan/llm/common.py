@@ -17,13 +17,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where that setting is absent (single-machine tests) a temporary folder is made and set.
     """
-    path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    context = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF) or context.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="cellspan-")
-        spark.conf.set(CHECKPOINT_CONF, path)
-        spark.sparkContext.setCheckpointDir(path)
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cellspan-"))
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 
@@ -77,3 +77,19 @@ def sliced(rows: list[tuple], schema, weight=None, limit: int = 8 << 20):
 def _batch(pa, rows, schema):
     columns = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def materialise_bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+    """Like :func:`materialise`, dealt into buckets by ``column``, so that grouping by it later needs no shuffle."""
+    spark, table = df.sparkSession, f"cellspan_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cellspan/{name}-{table}"
+    df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # its name only: the files of a table with a path of its own stay
+    return found
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete all intermediate tables of the shared folder; only once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cellspan")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -23,7 +23,7 @@ from cellspan.llm.common import documents
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir)))
+    decoded = bpe.encode(documents(spark, sf_dir), decoded=True)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

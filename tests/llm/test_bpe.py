@@ -22,10 +22,21 @@ def test_ids_match_the_library_and_decode(table, block, request, monkeypatch):
 
 
 def test_query_digests(spark, sf_dir, doc_rows):
-    for r in queries.op1_byte_bpe(spark, sf_dir).collect():
+    encoder = pretokens.rank_encoder()
+    found = queries.op1_byte_bpe(spark, sf_dir).collect()
+    assert len(found) == len(doc_rows)
+    for r in found:
+        ids = encoder.encode_ordinary(doc_rows[r.doc_id].text)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(doc_rows[r.doc_id].text.encode()).hexdigest()
 
 
+def test_unknown_ids_raise(spark):
+    df = spark.createDataFrame([(struct.pack("<I", 60_000),)], "ids binary")
+    with pytest.raises(Exception, match="vocabulary does not have"):
+        bpe.decode(df).collect()
+
+
 def test_empty(empty):
     assert bpe.decode(bpe.encode(empty)).count() == 0
 
