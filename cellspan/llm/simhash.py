@@ -16,6 +16,10 @@ Copies at a given share of common shingles need more bits than 64 to be told apa
 ``PLANE_RADIUS`` bits at most, which the tiles find, and all together in ``WITHIN`` of 256, which is looked at for those
 pairs only.  A share (Jaccard) of 0.8 of five-word shingles makes 39 of 256 bits differ on average, with a deviation of 6; unrelated texts differ in 128.
 
+Where a ``share`` is asked for, the fingerprints (then of a text's distinct shingles) only search: they link at the wider ``CANDIDATES`` bits, and what a task
+has linked is compared again by the shingles themselves, each pair of candidates that nothing else has united yet.  Local groups of more than
+``BLOCK`` texts are compared by pairs of blocks, so no task holds more than two blocks of texts.  Texts with equal sets of shingles are one node.
+
 The driver sees 65 class sizes and no fingerprint.  Comparisons grow with the square of the number of distinct fingerprints, as
 the method does; the shuffle grows with its power 1.5 at most.
 
@@ -45,6 +49,8 @@ LEAST_GROUP = 1 << 12
 GROUPS = 2_000
 #: For near copies: words of a shingle, fingerprints, and the bits that may differ in the first one and in all.
 COPY_WORDS, PLANES, PLANE_RADIUS, WITHIN = 5, 4, 20, 42
+#: The share of common shingles of near copies, the bits of all fingerprints that may differ for their shingles to be compared, and texts of a block.
+SHARE, CANDIDATES, BLOCK = 0.8, 60, 512
 #: Shingles that are hashed in one go.
 CHUNK = 1 << 17
 
@@ -59,15 +65,39 @@ def fingerprints_of(text: str, words: int = WORDS, planes: int = 1) -> np.ndarra
     for start in range(0, n, CHUNK):
         take = min(CHUNK, n - start)
         h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED, take)), np.uint64, take) if n <= CHUNK else _some(shingles, take)
-        for k in range(planes):
-            if k:  # other bits of the same hash: a mixing step that is one to one
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                h = h ^ (h >> np.uint64(31))
-            ones[k] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        _count_ones(ones, h)
     return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def _count_ones(ones: np.ndarray, h: np.ndarray) -> None:
+    """Add to each row of ``ones`` how many of the hashes have each bit."""
+    for k in range(len(ones)):
+        if k:  # other bits of the same hash: a mixing step that is one to one
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31))
+        ones[k] += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprints_of_set(h: np.ndarray, planes: int = PLANES) -> np.ndarray:
+    """``planes`` 64-bit SimHashes of distinct shingle hashes."""
+    ones = np.zeros((planes, 64), np.int64)
+    for start in range(0, len(h), CHUNK):
+        _count_ones(ones, h[start : start + CHUNK])
+    return np.packbits(ones * 2 > len(h), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def shingles_of(text: str, words: int = COPY_WORDS) -> np.ndarray:
+    """The distinct XXH64 hashes of the shingles of a text, ascending."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    if len(parts) < words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(parts), SEED)], np.uint64)
+    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(parts) - words + 1))
+
+
 def fingerprint(text: str, words: int = WORDS) -> int:
     return int(fingerprints_of(text, words)[0])
 
@@ -98,6 +128,22 @@ def planes_column(words: int = COPY_WORDS, planes: int = PLANES):
     return fingerprints
 
 
+def set_column(words: int = COPY_WORDS, planes: int = PLANES):
+    """Function of a text column: ``struct<fingerprint, more, node>`` of its distinct shingles; the node is a hash of all of them."""
+
+    @F.arrow_udf("fingerprint long, more binary, node long")
+    def fingerprints(texts: pa.Array) -> pa.Array:
+        first, more, nodes = [], [], []
+        for t in texts:
+            h = shingles_of(t.as_py() or "", words)
+            f = fingerprints_of_set(h, planes)
+            first.append(f[0]), more.append(f[1:].tobytes()), nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+        longs = [pa.array(np.array(x, np.uint64).view(np.int64), pa.int64()) for x in (first, nodes)]
+        return pa.StructArray.from_arrays([longs[0], pa.array(more, pa.binary()), longs[1]], names=["fingerprint", "more", "node"])
+
+    return fingerprints
+
+
 def _quarters(prints: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints.view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
@@ -194,8 +240,13 @@ def group_classes(sizes: dict[int, int], group: int) -> tuple[list[tuple[int, in
     return ranges, first_of, parts_of
 
 
-def link_components(prints: DataFrame, radius: int = RADIUS, within: int | None = None, group: int = GROUP) -> DataFrame:
-    """``(node, component)`` of the rows of ``prints(fingerprint, node, more)`` that link with any other; nodes are unique longs."""
+def link_components(
+    prints: DataFrame, radius: int = RADIUS, within: int | None = None, group: int = GROUP, texts: DataFrame | None = None, words: int = COPY_WORDS, share: float = SHARE
+) -> DataFrame:
+    """``(node, component)`` of the rows of ``prints(fingerprint, node, more)`` that link with any other; nodes are unique longs.
+
+    Given ``texts(key, text)``, and a ``key`` in ``prints``, only pairs that have ``share`` of their shingles in common link.
+    """
     spark = prints.sparkSession
     classed = prints.select("fingerprint", "node", "more", F.bit_count("fingerprint").alias("ones"))
     sizes = {r.ones: r["count"] for r in classed.groupBy("ones").count().collect()}  # 65 rows at most
@@ -213,11 +264,75 @@ def link_components(prints: DataFrame, radius: int = RADIUS, within: int | None
         if a != b:
             meets.setdefault(b, []).append(2 * p + 1)
     met = _compared(grouped, spark.sparkContext.broadcast((pairs, meets)), len(pairs), radius, within)
+    if texts is not None:
+        return components(_verified(prints, materialise(met, "candidates"), texts, words, within, share))
     return components(met.select("node", F.struct("pair", "least").alias("local"), "least"))
 
 
+def _verified(prints: DataFrame, met: DataFrame, texts: DataFrame, words: int, within: int, share: float) -> DataFrame:
+    """``(node, local, least)``: the candidates' local groups, as the shingles of their texts link them."""
+    wanted = prints.join(met.select("node").distinct(), "node").select("node", "key")
+    found = materialise(wanted.join(texts, "key").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
+    # Each pair of a local group's blocks is a unit of work; a group of one block is a single unit.
+    block, last = F.floor(F.col("place") / BLOCK).cast("int"), F.floor((F.col("size") - 1) / BLOCK).cast("int")
+    dealt = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    unit = F.struct("pair", "least", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    # Where two blocks meet, pairs within either are left to the unit of that block alone.
+    dealt = dealt.select("node", unit.alias("local"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
+    held = dealt.join(prints.select("node", "fingerprint", "more"), "node").join(found, "node")
+    held = held.select("local", "side", "node", "fingerprint", "more", "text", F.xxhash64("local").alias("name")).repartition("local").sortWithinPartitions("local")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for local, *row, name in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if local != now:
+                    yield from finished(rows)
+                    now, rows = local, []
+                side, node, fingerprint, more, text = row
+                rows.append((name, local["low"] == local["high"], side, node, fingerprint, more, shingles_of(text, words)))
+        yield from finished(rows)
+
+    def finished(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        prints = np.array([np.frombuffer(np.int64(r[4]).tobytes() + r[5], np.uint64) for r in rows])
+        side = None if rows[0][1] else np.array([r[2] for r in rows])
+        group = shared_shingles(prints, [r[6] for r in rows], side, within, share)
+        nodes, at = np.array([r[3] for r in rows], np.int64), np.flatnonzero(np.bincount(group, minlength=len(rows))[group] > 1)
+        least = np.full(len(rows), np.iinfo(np.int64).max, np.int64)
+        np.minimum.at(least, group, nodes)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(least[group][at]), pa.array(np.full(len(at), rows[0][0], np.int64))], names=["node", "least", "name"])
+
+    return held.mapInArrow(verify, "node long, least long, name long").select("node", F.struct("name", "least").alias("local"), "least")
+
+
+def shared_shingles(prints: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, within: int, share: float) -> np.ndarray:
+    """A group number for each text: united are those that a chain of candidate pairs with ``share`` of common shingles joins.
+
+    ``prints`` are rows of fingerprints; with ``side`` only pairs of different sides are looked at.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    group = np.arange(n)
+    for i in range(n - 1):
+        later = np.arange(i + 1, n)
+        near = np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(axis=1, dtype=np.int64) <= within
+        near &= (group[later] != group[i]) & (np.minimum(sizes[later], sizes[i]) >= share * np.maximum(sizes[later], sizes[i]) - 1e-9)
+        if side is not None:
+            near &= side[later] != side[i]
+        same = []
+        for j in later[near]:
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common >= share * (sizes[i] + sizes[j] - common) - 1e-9:
+                same.append(group[j])
+        if same:
+            group[np.isin(group, same)] = group[i]
+    return group
+
+
 def _compared(grouped: DataFrame, shared, n_pairs: int, radius: int, within: int | None) -> DataFrame:
-    """``(node, least, pair)``: groups meet by pair, and each pair of groups is compared in one task."""
+    """``(node, least, pair, place, size)``: groups meet by pair, and each pair of groups is compared in one task; place and size are of the local group."""
     kinds = [("pair", pa.int64()), ("side", pa.int64()), ("prints", pa.binary()), ("nodes", pa.binary()), ("more", pa.binary())]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,26 +367,29 @@ def _compared(grouped: DataFrame, shared, n_pairs: int, radius: int, within: int
         if not sides[0] or not same and not sides[1]:
             return
         nodes, least = local_groups(side_of(sides[0]), None if same else side_of(sides[1]), radius, within)
-        name = np.full(len(nodes), pair, np.int64)
+        order = np.argsort(least, kind="stable")
+        nodes, least = nodes[order], least[order]
+        _, first, inverse, counts = np.unique(least, return_index=True, return_inverse=True, return_counts=True)
+        columns = (nodes, least, np.full(len(nodes), pair, np.int64), np.arange(len(nodes)) - first[inverse], counts[inverse])
         for i in range(0, len(nodes), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (nodes, least, name)], names=["node", "least", "pair"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in columns], names=["node", "least", "pair", "place", "size"])
 
     wide = "pair long, side long, prints binary, nodes binary, more binary"
     tasks = max(1, min(n_pairs, 100_000))
     dealt = grouped.mapInArrow(deal, wide).repartition(tasks, "pair").sortWithinPartitions("pair")
-    return dealt.mapInArrow(compare, "node long, least long, pair long")
+    return dealt.mapInArrow(compare, "node long, least long, pair long, place long, size long")
 
 
 def hex_digits(column: str) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def _component_of_node(table: DataFrame, radius: int, within: int | None = None) -> DataFrame:
-    """``(node, component)`` of each distinct node of ``table(node, fingerprint, more)``; written, so that joins with it are dealt afresh."""
+def _component_of_node(table: DataFrame, radius: int, within: int | None = None, **verified) -> DataFrame:
+    """``(node, component)`` of each distinct node of ``table(node, fingerprint, more)`` (and ``key``, to verify links); written, so that joins with it are dealt afresh."""
     # One row for each distinct node; copies meet it only by partial aggregates.
-    firsts = [F.first(c).alias(c) for c in ("fingerprint", "more")]
+    firsts = [F.first(c).alias(c) for c in ("fingerprint", "more", *(["key"] if verified else []))]
     distinct = materialise(table.groupBy("node").agg(*firsts), "distinct-fingerprints")
-    linked = link_components(distinct, radius, within).withColumnRenamed("node", "of")
+    linked = link_components(distinct, radius, within, **verified).withColumnRenamed("node", "of")
     found = distinct.join(linked, distinct.node == linked.of, "left")
     return materialise(found.select("node", F.coalesce("component", "node").alias("component")), "fingerprint-components")
 
@@ -293,15 +411,31 @@ _KEY, _SAME, _PRINT = "__cellspan_key", "__cellspan_same", "__cellspan_print"
 
 
 def one_of_each(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = COPY_WORDS, planes: int = PLANES, radius: int = PLANE_RADIUS, within: int = WITHIN
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = COPY_WORDS,
+    planes: int = PLANES,
+    radius: int = PLANE_RADIUS,
+    within: int | None = None,
+    share: float | None = None,
 ) -> DataFrame:
-    """One row of each group of near copies, that with the smallest id, with all its columns; all rows without near copies stay."""
+    """One row of each group of near copies, that with the smallest id, with all its columns; all rows without near copies stay.
+
+    Near copies have ``share`` of their distinct shingles in common; without a share, fingerprints that differ in ``within`` bits at most.
+    """
     columns = [F.col(f"`{c}`") for c in df.columns]
     keyed = df.withColumn(_KEY, F.xxhash64(*columns))
+    prints = set_column if share else planes_column
     table = materialise(
-        keyed.select(F.col(id_col).alias("id"), F.col(_KEY).alias("key"), planes_column(words, planes)(text_or_empty(text_col)).alias("f")).select("id", "key", "f.*"), "fingerprints"
-    ).withColumn("node", F.xxhash64("fingerprint", "more"))
-    of_node = _component_of_node(table, radius, within)
+        keyed.select(F.col(id_col).alias("id"), F.col(_KEY).alias("key"), prints(words, planes)(text_or_empty(text_col)).alias("f")).select("id", "key", "f.*"), "fingerprints"
+    )
+    if share:
+        texts = keyed.select(F.col(_KEY).alias("key"), text_or_empty(text_col).alias("text"))
+        of_node = _component_of_node(table, radius, CANDIDATES if within is None else within, texts=texts, words=words, share=share)
+    else:
+        table = table.withColumn("node", F.xxhash64("fingerprint", "more"))
+        of_node = _component_of_node(table, radius, WITHIN if within is None else within)
     # The best row of each node first, then that of each component: only one row a node is shuffled.
     best = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "key")).alias("best")
     of_each = materialise(table.groupBy("node").agg(best), "best-of-node").join(of_node, "node")

@@ -29,8 +29,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id."""
-    return simhash.one_of_each(docs)
+    """Of each group of near duplicates, at a share of 0.8 of distinct five-word shingles, the document with the smallest id."""
+    return simhash.one_of_each(docs, share=simhash.SHARE)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,12 @@ def test_one_of_each_picks_one_of_equal_rows(edge):
     assert sum(r.doc_id == 4 for r in found) <= 1
     deduped = exact_dedup.deduplicate(edge)
     assert deduped.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in rows})
+
+
+def test_near_dedup_stage_goes_by_the_share_of_shingles(spark, sf_dir, docs):
+    from test_simhash import alike, shingle_set
+
+    single = exact_dedup.deduplicate(docs).cache()
+    rows = single.collect()
+    want = sorted(set(brute([shingle_set(r.text) for r in rows], [r.doc_id for r in rows], alike)))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, single, sf_dir).collect()) == want

@@ -150,3 +150,30 @@ def test_groups_hold_neighbouring_classes():
     assert ranges == [(1, 2), (5, 5), (5, 5), (5, 5), (6, 9)]
     assert first == {1: 0, 2: 0, 5: 1, 6: 4, 9: 4} and parts == {1: 1, 2: 1, 5: 3, 6: 1, 9: 1}
     assert simhash.group_classes({}, 10) == ([], {}, {})
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_share_of_shingles_decides(spark, docs, edge, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    base = [r for r in docs.collect() if len(r.text.split()) > 100][:60]
+    rows = [(r.doc_id, r.text) for r in base] + [(10_000 + i, edited(r.text, (0.012, 0.02)[i % 2], rng)) for i, r in enumerate(base)]
+    rows += [(20_000 + i, edited(base[0].text, 0.012, rng)) for i in range(12)]  # a group of several blocks
+    # A repeated line fills both sketches but is few distinct shingles.
+    rows += [(30_000 + i, "one and the same line again " * 300 + " ".join(f"w{i}x{k}" for k in range(60))) for i in range(2)]
+    sets = [shingle_set(t) for _, t in rows]
+    want = set(brute(sets, [i for i, _ in rows], alike))
+    assert want != set(brute([brute_planes(t) for _, t in rows], [i for i, _ in rows], near_copies))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in simhash.one_of_each(df, share=0.8).collect()}
+    assert {30_000, 30_001} <= got and got == want
+    assert simhash.one_of_each(edge, share=0.8).count() == len(set(brute([shingle_set(r.text) for r in edge.collect()], list(range(edge.count())), alike)))
