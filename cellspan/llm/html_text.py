@@ -7,7 +7,8 @@ text (blocks); the longest common subsequence of the two aligns them, and lines
 An exact check by structure follows, since differencing alone errs in two ways: neighbours may hold the same article (copies),
 whose lines must stay, and a notice may be on one page only.  So blocks inside elements that can't be main text (menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments, by tag, role, or name) go in any case; where a page has an ``article`` or
-``main`` element, its other blocks stay and what lies outside goes; elsewhere differencing alone decides.
+``main`` element, its other blocks are restored and what lies outside goes, unless the lines outside that only this page has hold more characters than all of
+the element (a teaser, beside a body in plain elements); there and elsewhere differencing alone decides.
 
 Pages are dealt by ranges of the sorted order, one shuffle of parsed blocks; a range's first and last page visit the neighbouring
 ranges as guests, so that a page's pair doesn't depend on the ranges, and a host that has a third of all pages is spread over many.
@@ -191,13 +192,12 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 def main_text(own: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
     """Text of a page's blocks, given those of its nearest page."""
-    has_main = any(part == MAIN for part, _ in own)
-    if has_main:
-        return "\n\n".join(text for part, text in own if part == MAIN)
-    if not other:
-        return "\n\n".join(text for part, text in own if part == PLAIN)
-    shared = common_lines([t for _, t in own], [t for _, t in other])
-    return "\n\n".join(text for i, (part, text) in enumerate(own) if part == PLAIN and i not in shared)
+    shared = common_lines([t for _, t in own], [t for _, t in other]) if other else set()
+    main = [text for part, text in own if part == MAIN]
+    plain = [text for i, (part, text) in enumerate(own) if part == PLAIN and i not in shared]
+    if main and (not other or sum(map(len, plain)) <= sum(map(len, main))):
+        return "\n\n".join(main)
+    return "\n\n".join(text for i, (part, text) in enumerate(own) if part != APART and i not in shared)
 
 
 def address(url: Column) -> tuple[Column, Column]:

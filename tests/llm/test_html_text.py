@@ -102,3 +102,11 @@ def test_edges(spark):
     found = html_text.extract(df).collect()
     assert len(found) == 5 and sorted(r.text for r in found) == ["", "", "", "x", "y"]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_an_article_that_is_a_teaser_does_not_replace_the_body():
+    def page(body):
+        return html_text.blocks(f"<body><div>Menu of the site</div>{body}<article><p>Read this too</p></article></body>")
+
+    a, b = page("<div><p>The long body of page one</p><p>in plain elements</p></div>"), page("<div><p>Another body</p></div>")
+    assert html_text.main_text(a, b) == "The long body of page one\n\nin plain elements"
