@@ -9,6 +9,7 @@ whose lines must stay, and a notice may be on one page only.  So blocks inside e
 sidebars, notices, adverts, forms, reader comments, by tag, role, or name) go in any case; where a page has an ``article`` or
 ``main`` element, its other blocks are restored and what lies outside goes, unless the lines outside that only this page has hold more characters than all of
 the element (a teaser, beside a body in plain elements); there and elsewhere differencing alone decides.
+A page of which differencing would leave nothing is a copy of its nearest page and is treated as one without neighbours: its text stays, with the template's lines.
 
 Pages are dealt by ranges of the sorted order, one shuffle of parsed blocks; a range's first and last page visit the neighbouring
 ranges as guests, so that a page's pair doesn't depend on the ranges, and a host that has a third of all pages is spread over many.
@@ -193,6 +194,8 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 def main_text(own: list[tuple[int, str]], other: list[tuple[int, str]] | None) -> str:
     """Text of a page's blocks, given those of its nearest page."""
     shared = common_lines([t for _, t in own], [t for _, t in other]) if other else set()
+    if all(i in shared for i, (part, _) in enumerate(own) if part != APART):
+        other, shared = None, set()  # a copy, which can't tell template from text
     main = [text for part, text in own if part == MAIN]
     plain = [text for i, (part, text) in enumerate(own) if part == PLAIN and i not in shared]
     if main and (not other or sum(map(len, plain)) <= sum(map(len, main))):

@@ -110,3 +110,9 @@ def test_an_article_that_is_a_teaser_does_not_replace_the_body():
 
     a, b = page("<div><p>The long body of page one</p><p>in plain elements</p></div>"), page("<div><p>Another body</p></div>")
     assert html_text.main_text(a, b) == "The long body of page one\n\nin plain elements"
+
+
+def test_copies_without_an_article_keep_their_text(spark):
+    page = "<body><nav>Home</nav><div><p>The body of a page</p><p>that was fetched twice</p></div></body>"
+    df = spark.createDataFrame([(1, "http://a/x", page), (2, "http://a/x", page)], "page_id long, url string, html string")
+    assert [r.text for r in html_text.extract(df).collect()] == ["The body of a page\n\nthat was fetched twice"] * 2
