@@ -55,3 +55,7 @@ def test_edges(spark, edge, empty):
     assert toxicity.classify(empty, labels).count() == 0
     none = toxicity.classify(edge, labels.where("toxic = 0")).collect()
     assert not any(r.toxic for r in none) and all(r.p_toxic == 0 for r in none)
+
+
+def test_the_fit_takes_five_thousand_texts_a_class():
+    assert toxicity.PER_CLASS == 5_000
