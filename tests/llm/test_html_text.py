@@ -116,3 +116,82 @@ def test_copies_without_an_article_keep_their_text(spark):
     page = "<body><nav>Home</nav><div><p>The body of a page</p><p>that was fetched twice</p></div></body>"
     df = spark.createDataFrame([(1, "http://a/x", page), (2, "http://a/x", page)], "page_id long, url string, html string")
     assert [r.text for r in html_text.extract(df).collect()] == ["The body of a page\n\nthat was fetched twice"] * 2
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<article><p>a</p><svg width="1"/><p>b</p></article>', "a|b"),
+        ("<article><p>a</p><video-player></video-player><p>b</p></article>", "a|b"),
+        ("<p>a</p><select-box>x</select-box><p>b", "a|x|b"),
+        ("<article><p>a</p><object data=x><p>b</p></article>", "a|b"),
+        ("<p>x <object>fallback</object> y</p>", "x y"),
+        ("<p class=it's>hello</p>", "hello"),
+        ('<a href="x>link</a> b', "link b"),
+        ('<article><div class="related-work"><p>r</p></div><p>E = <math><mi>m</mi></math> c</p></article>', "r|E = m c"),
+        ("<article><header><h1>T</h1></header><p>a</p></article><header>H</header>", "T|a"),
+        ("<p>one <svg><text>t</text></svg> two <button>Go</button> three</p>", "one two three"),
+        ("<div class=comment-list>n</div><div class=comment-on-war>k</div>", "k"),
+        ("<script>x</script ><p>a<!--><p>b<!-- c --!><p>d", "a|b|d"),
+        ("<p>a</p><title>t</title><iframe src=x></iframe>b<textarea><p>x</textarea>c", "a|b c"),
+    ],
+)
+def test_no_text_is_lost_and_no_markup_leaks(html, want):
+    assert html_text.main_text(html_text.blocks(html), None) == want.replace("|", "\n\n")
+
+
+def test_broken_markup_takes_time_in_proportion():
+    import time
+
+    began = time.perf_counter()
+    for x in ("<a ", '<a b="', "<a b='x>", "<!--", "</script ", "<svg>", "<object>", "<div class=ad>"):
+        html_text.blocks(x * 50_000)
+    assert time.perf_counter() - began < 20
+
+
+def test_memory_of_a_very_long_page():
+    import tracemalloc
+
+    rng = random.Random(1)
+    a = [str(i) for i in range(100_000)]
+    b = a[:]
+    rng.shuffle(b)
+    tracemalloc.start()
+    found = [a[i] for i in sorted(html_text.common_lines(a, b))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    place = {x: i for i, x in enumerate(b)}
+    assert peak < 250e6 and len(found) > 500 and all(place[x] < place[y] for x, y in zip(found, found[1:]))
+
+
+def _without_structure(page):
+    """The page with neutral elements in place of those that say what a part is."""
+    return re.sub(r"<(/?)(?:article|nav|footer|header)\b[^>]*>", r"<\1div>", page).replace(' class="ad"', "")
+
+
+def test_differencing_takes_part_on_the_given_pages(spark):
+    """Alignment deletes lines of the driver's pages; the veto brings back passages that neighbours share, and nothing else."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()
+    pages = sorted(rows, key=lambda r: re.sub(r"^\w+://", "", r.url))
+    deleted = back = stay = removed_without_structure = 0
+    for before, page in zip(pages, pages[1:]):
+        if re.sub(r"^\w+://", "", before.url).split("/")[0] != re.sub(r"^\w+://", "", page.url).split("/")[0]:
+            continue
+        own, other = html_text.blocks(page.html), html_text.blocks(before.html)
+        kept, shared, returned = html_text.decide(own, other)
+        deleted += len(shared)
+        back += len(returned)
+        stay += len(shared - set(kept))
+        assert returned <= shared and all(own[i].region for i in returned)
+        own, other = html_text.blocks(_without_structure(page.html)), html_text.blocks(_without_structure(before.html))
+        kept, shared, _ = html_text.decide(own, other)
+        removed_without_structure += len(own) - len(kept)
+    print(deleted, back, stay, removed_without_structure)
+    assert deleted > 300 and back > 100 and stay > 300 and removed_without_structure > 300
+
+
+def test_a_near_copy_keeps_its_body():
+    def page(last):
+        return html_text.blocks(f"<body><div>Menu of the site</div><div><p>One long paragraph that both share</p><p>Another one</p><p>{last}</p></div><div>Terms</div></body>")
+
+    assert html_text.main_text(page("A new end of it"), page("The old end")) == "One long paragraph that both share\n\nAnother one\n\nA new end of it"
