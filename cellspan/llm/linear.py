@@ -9,19 +9,35 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 0.1, steps: int = 15) -> np.ndarray:
-    """Weights (the intercept last, not penalised) of a dense logistic regression with few columns."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], l2)
-    penalty[-1] = 1e-6
+def minimise(loss, w: np.ndarray, steps: int = 30, memory: int = 8, near: float = 3e-3) -> np.ndarray:
+    """The minimum of a smooth convex ``loss(w) -> (value, gradient)`` by L-BFGS with halved steps, from ``w``.
+
+    It ends when five steps together have taken less than ``near`` of the first loss away.
+    """
+    value, gradient = loss(w)
+    values, moves, turns = [value], [], []
     for _ in range(steps):
-        p = sigmoid(x @ w)
-        gradient = x.T @ (weight * (p - y)) + penalty * w
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, gradient)
-        w -= step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-5:
+        if not gradient.any() or len(values) > 5 and values[-6] - value <= near * abs(values[0]):
             break
+        way, parts = gradient.copy(), []
+        for s, y in zip(reversed(moves), reversed(turns), strict=True):
+            parts.append((s @ way) / (y @ s))
+            way -= parts[-1] * y
+        way *= (moves[-1] @ turns[-1]) / (turns[-1] @ turns[-1]) if moves else 1 / max(1.0, np.abs(gradient).sum())
+        for s, y, part in zip(moves, turns, reversed(parts), strict=True):
+            way += s * (part - (y @ way) / (y @ s))
+        length, slope = 1.0, float(gradient @ way)
+        while True:
+            there = w - length * way
+            value_there, gradient_there = loss(there)
+            if value_there <= value - 1e-4 * length * slope or length < 1e-6:
+                break
+            length /= 2
+        s, y = there - w, gradient_there - gradient
+        if s @ y > 1e-12:
+            moves, turns = [*moves, s][-memory:], [*turns, y][-memory:]
+        w, value, gradient = there, value_there, gradient_there
+        values.append(value)
     return w
 
 
