@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from cellspan.functions.numeric import log_factorial, pairs_of
 
 
+#: Of the expected mutual information: how far from the mean terms count, and counts of a span.
+FAR, SPAN = 40.0, 4_096
+
+
 def encode_labels(df: DataFrame, label_col: str) -> DataFrame:
     """``(label, code)``: codes from 0 in the order of the labels; only the distinct labels meet in one window."""
     labels = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("label")).distinct()
@@ -67,12 +71,21 @@ def expected_mi(table: DataFrame) -> DataFrame:
     """One row ``emi``: the expected mutual information of two random partitions with the same label sizes.
 
     Label sizes are grouped with their multiplicity, so that equal ones are worked out once; ln(n!) is a closed expression.
+    Terms farther than ``FAR`` standard deviations (and as many counts) from the mean are below a double's precision and left out; the others go out in
+    spans of ``SPAN`` counts, so no row holds more, and large labels are worked out by many tasks.
     """
     size_a = table.groupBy("a").agg(F.sum("n_ij").alias("x")).groupBy("x").agg(F.count("*").alias("mx"))
     size_b = table.groupBy("b").agg(F.sum("n_ij").alias("y")).groupBy("y").agg(F.count("*").alias("my"))
     n = table.agg(F.sum("n_ij").alias("n"))
     pairs = size_a.crossJoin(size_b).crossJoin(n)  # distinct sizes: at most the square root of 2n on each side
-    terms = pairs.select("*", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("x") + F.col("y") - F.col("n")), F.least("x", "y"))).alias("m"))
+    xd, yd, nd = (F.col(c).cast("double") for c in ("x", "y", "n"))
+    mean = xd * yd / nd
+    far = FAR * (F.sqrt(F.greatest(F.lit(0.0), mean * (1 - xd / nd) * (nd - yd) / F.greatest(nd - 1, F.lit(1.0)))) + 1)
+    low = F.greatest(F.lit(1).cast("long"), F.col("x") + F.col("y") - F.col("n"), F.floor(mean - far))
+    ends = pairs.select("*", low.alias("low"), F.least(F.col("x"), F.col("y"), F.ceil(mean + far)).alias("high"))
+    spans = ends.withColumn("from", F.explode(F.sequence("low", F.greatest("low", "high"), F.lit(SPAN).cast("long")))).repartition("x", "y", "from")
+    until = F.least(F.col("high"), F.col("from") + SPAN - 1)
+    terms = spans.where(F.col("from") <= F.col("high")).select("x", "y", "n", "mx", "my", F.explode(F.sequence("from", until)).alias("m"))
     x, y, n_, m = (F.col(c) for c in ("x", "y", "n", "m"))
     log = (
         log_factorial(x) + log_factorial(y) + log_factorial(n_ - x) + log_factorial(n_ - y)

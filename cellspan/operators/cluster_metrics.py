@@ -7,12 +7,11 @@ many as points, give NULL.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellspan.functions.durable import written
-from cellspan.operators.pairwise import block_pairs, distances
+from cellspan.operators.pairwise import block_sums, distances
 
 
 def labelled(points: DataFrame, label_col: str, vec_col: str) -> DataFrame:
@@ -74,43 +73,44 @@ def calinski_harabasz(points: DataFrame, label_col: str, vec_col: str) -> DataFr
 
 
 def silhouette(points: DataFrame, label_col: str, vec_col: str) -> DataFrame:
-    """Mean Euclidean silhouette over all points, exact, from blocked sums of distances by (point, label)."""
+    """Mean Euclidean silhouette over all points, exact, from sums of distances by point and label.
+
+    A task holds one block of points and their sums, an array of labels each, and lets a share of all blocks pass by; so what it hands over is a row of sums for
+    each point, whatever the number of blocks, and these meet by block.
+    """
     rows = labelled(points, label_col, vec_col)
-    sizes = written(rows.groupBy("label").agg(F.count("*").alias("size")), "label-sizes")
-    labels = sorted(r.label for r in sizes.select("label").collect())  # one for each label
-    code = {x: i for i, x in enumerate(labels)}
-    codes = points.sparkSession.createDataFrame([(x, i) for x, i in code.items()], "label string, code int")
+    sizes = {r.label: r["size"] for r in rows.groupBy("label").agg(F.count("*").alias("size")).collect()}  # one for each label
+    labels = sorted(sizes)
+    codes = points.sparkSession.createDataFrame([(x, i) for i, x in enumerate(labels)], "label string, code int")
     table = written(rows.join(F.broadcast(codes), "label").select(F.monotonically_increasing_id().alias("row"), "code", "vec"), "points")
+    size = np.array([sizes[x] for x in labels], float)
+
+    def sums(left, rights):
+        total = np.zeros((len(left["row"]), len(size)))
+        order = np.argsort(left["row"])
+        for right in rights:
+            d = distances(left["vec"], right["vec"])
+            at = np.searchsorted(left["row"], right["row"], sorter=order)
+            mine = order[np.minimum(at, len(order) - 1)]
+            same = np.flatnonzero(left["row"][mine] == right["row"])
+            d[mine[same], same] = 0.0
+            one = np.zeros((len(right["row"]), len(size)))
+            one[np.arange(len(one)), right["code"]] = 1.0
+            total += d @ one
+        return total
+
+    def score(left, total):
+        each, own = np.arange(len(total)), left["code"]
+        alone = size[own] <= 1
+        a = total[each, own] / np.maximum(size[own] - 1, 1)
+        others = total / size
+        others[each, own] = np.inf
+        b = others.min(axis=1) if len(size) > 1 else np.zeros(len(total))
+        most = np.maximum(a, b)
+        s = np.where(alone | (most == 0), 0.0, (b - a) / np.where(most == 0, 1.0, most))
+        return float(s.sum()), len(s)
+
+    found = block_sums(table, "vec", len(labels), sums, score)
     k = len(labels)
-    schema = pa.schema([("row", pa.int64()), ("own", pa.int32()), ("other", pa.int32()), ("total", pa.float64())])
-
-    def kernel(same, left, right):
-        d = distances(left["vec"], right["vec"])
-        if same:
-            np.fill_diagonal(d, 0.0)
-        for a, b, m in ((left, right, d),) if same else ((left, right, d), (right, left, d.T)):
-            one = np.zeros((len(b["row"]), k))
-            one[np.arange(len(one)), b["code"]] = 1.0
-            sums, held = m @ one, np.unique(b["code"])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(a["row"], len(held))),
-                    pa.array(np.repeat(a["code"], len(held))),
-                    pa.array(np.tile(held, len(a["row"])).astype(np.int32)),
-                    pa.array(sums[:, held].ravel()),
-                ],
-                schema=schema,
-            )
-
-    partial = block_pairs(table, ["vec"], kernel, "row long, own int, other int, total double")
-    by_label = partial.groupBy("row", "own", "other").agg(F.sum("total").alias("total"))
-    size_of = F.broadcast(sizes.join(codes, "label").select(F.col("code").alias("other"), "size"))  # one row for each label
-    size = F.col("size").cast("double")
-    met = by_label.join(size_of, "other")
-    each = met.groupBy("row").agg(
-        F.max(F.when(F.col("own") == F.col("other"), F.try_divide("total", size - 1))).alias("a"),
-        F.max(F.when(F.col("own") == F.col("other"), F.col("size"))).alias("own_size"),
-        F.min(F.when(F.col("own") != F.col("other"), F.col("total") / size)).alias("b"),
-    )
-    s = F.when(F.col("own_size") <= 1, F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return each.agg(F.when(F.lit(k >= 2) & (F.count("*") > k), F.avg(s)).alias("value"))
+    value = F.when(F.lit(k >= 2) & (F.sum("n") > k), F.sum("total") / F.sum("n").cast("double"))
+    return found.agg(value.alias("value"))

@@ -7,6 +7,7 @@ metrics demand; a task holds two blocks, and shuffled data is the points times t
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -81,3 +82,77 @@ def block_pairs(points: DataFrame, vectors: list[str], kernel: Callable, schema:
 
     pairs = blocks * (blocks + 1) // 2
     return dealt.repartition(max(1, min(pairs, 20_000)), "pair").sortWithinPartitions("pair").mapInArrow(run, schema)
+
+
+#: Bytes of the points and sums that a task of :func:`block_sums` holds, and rows of a block at least and at most.
+HELD, LEAST, MOST = 64 << 20, 256, 1 << 16
+
+
+def block_sums(points: DataFrame, vec_col: str, columns: int, sums: Callable, score: Callable) -> DataFrame:
+    """``(total, n)`` for each block of ``points(row, code, vec)``: ``score(block, sums of the block against all points)``.
+
+    ``sums(left, rights)`` gives ``columns`` numbers for each point of a block, summed over an iterator of other points; sides are as in :func:`block_pairs`.  A block
+    meets the others in a few shares, each a task that holds the block and streams through the share.
+    """
+    spark = points.sparkSession
+    shape = points.agg(F.count("*").alias("n"), F.max(F.size(vec_col)).alias("d")).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+    size = max(LEAST, min(MOST, HELD // (8 * ((shape.d or 0) + columns + 2))))
+    blocks = max(1, -(-shape.n // size))
+    if blocks * blocks < tasks:  # small data: still as many pairs as there are tasks
+        blocks = max(blocks, min(int((2 * tasks) ** 0.5), shape.n // 128))
+    shares = max(1, min(blocks, -(-tasks // blocks)))
+    packed = points.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"), "row", "code", F.col(vec_col).alias("vec"))
+    names = ["row", "code", "vec"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_row = batch.column("block").to_numpy()
+            for b in np.unique(of_row):
+                mine = batch.take(pa.array(np.flatnonzero(of_row == b)))
+                data = [mine.column("row").to_numpy().astype(np.int64).tobytes(), mine.column("code").to_numpy().astype(np.int32).tobytes()]
+                data.append(mine.column("vec").flatten().to_numpy().astype(np.float64).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int32()), *[pa.array([x], pa.binary()) for x in data]], names=["block", *names])
+
+    binary = "row binary, code binary, vec binary"
+    sides = packed.mapInArrow(pack, f"block int, {binary}")
+    as_left = sides.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("right", F.lit(False))
+    as_right = sides.withColumn("share", F.pmod("block", F.lit(shares))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("right", F.lit(True))
+    met = as_left.unionByName(as_right).repartition(max(1, min(blocks * shares, 20_000)), "block", "share").sortWithinPartitions("block", "share", "right")
+
+    def side(parts: list) -> dict:
+        made = {"row": np.frombuffer(b"".join(p[0] for p in parts), np.int64), "code": np.frombuffer(b"".join(p[1] for p in parts), np.int32)}
+        made["vec"] = np.frombuffer(b"".join(p[2] for p in parts), np.float64).reshape(len(made["row"]), -1)
+        return made
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (tuple(batch.column(c)[i].as_py() for c in ("block", "share", "right", *names)) for batch in batches for i in range(batch.num_rows))
+        for (block, _), mine in groupby(rows, key=lambda r: r[:2]):
+            parts, first = [], None
+            for r in mine:
+                if r[2]:
+                    first = r
+                    break
+                parts.append(r[3:])
+            if not parts:
+                continue
+            left = side(parts)
+            rights = (side([r[3:]]) for r in chain([first], mine)) if first else iter(())
+            total = sums(left, rights)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (left["row"], left["code"], total)]], names=["block", "row", "code", "sums"]
+            )
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (tuple(batch.column(c)[i].as_py() for c in ("block", "row", "code", "sums")) for batch in batches for i in range(batch.num_rows))
+        for _, mine in groupby(rows, key=lambda r: r[0]):
+            left, total = None, 0.0
+            for _, row, code, data in mine:
+                order = np.argsort(np.frombuffer(row, np.int64))  # a block's points may come in another order in each share
+                left = {"row": np.frombuffer(row, np.int64)[order], "code": np.frombuffer(code, np.int32)[order]}
+                total = total + np.frombuffer(data, np.float64).reshape(len(order), -1)[order]
+            value, n = score(left, total)
+            yield pa.RecordBatch.from_arrays([pa.array([value], pa.float64()), pa.array([n], pa.int64())], names=["total", "n"])
+
+    partial = met.mapInArrow(summed, "block int, row binary, code binary, sums binary").repartition(max(1, min(blocks, 20_000)), "block").sortWithinPartitions("block")
+    return partial.mapInArrow(scored, "total double, n long")

@@ -94,10 +94,11 @@ def ranked(metrics: DataFrame, keys: list[str], cell_limit: int = 0, seed: int =
 
 
 def sampled(df: DataFrame, limit: int, seed: int = 0) -> DataFrame:
-    """``limit`` rows without replacement if there are more (a seeded order by hash), all otherwise or if the limit is 0."""
+    """``limit`` rows without replacement if there are more (in the order of the MD5 of seed and values), all otherwise or if the limit is 0."""
     if not limit:
         return df
-    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])).limit(limit)
+    values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *values)), *df.columns).limit(limit)
 
 
 def violin_summary(metrics: DataFrame, keys: list[str], bins: int = 30) -> DataFrame:

@@ -1,10 +1,15 @@
-"""Tables as TSV files, figures as SVG, and tabbed HTML reports.  Everything here is bounded: collected rows are limited or summarised first."""
+"""Tables as TSV files, figures as SVG, and tabbed HTML reports.
+
+The driver sees ``DRIVER_ROWS`` rows of a table and ``FIGURE_POINTS`` points of a figure at most: a larger table is written by the executors, as a folder of
+parts in place of the file, and a larger scatter is drawn as a grid of ``GRID`` x ``GRID`` counted cells.
+"""
 
 from __future__ import annotations
 
 import html
 import logging
 import os
+import shutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +20,22 @@ from cellspan.sources import catalog
 
 logger = logging.getLogger(__name__)
 
+DRIVER_ROWS, FIGURE_POINTS, GRID = 100_000, 10_000, 160
+
 _COLOURS = ("#4477aa", "#ee6677", "#228833", "#ccbb44", "#66ccee", "#aa3377", "#bbbbbb", "#222255", "#dd7700", "#117733")
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    """A small table as one file with a header, tab separated."""
-    df.toPandas().to_csv(path, sep="\t", index=False)
+    """A table as one file with a header, tab separated; of more than ``DRIVER_ROWS`` rows, as a folder of such files."""
+    first = df.limit(DRIVER_ROWS + 1).toPandas()
+    if len(first) > DRIVER_ROWS:
+        if os.path.isfile(path):
+            os.remove(path)
+        write_tsv_folder(df, path)
+        return
+    if os.path.isdir(path):  # of an earlier, larger table
+        shutil.rmtree(path)
+    first.to_csv(path, sep="\t", index=False)
 
 
 def write_tsv_folder(df: DataFrame, path: str) -> None:
@@ -53,7 +68,7 @@ def violin_svg(summary: list) -> str:
 
 
 def scatter_svg(rows: list[tuple[float, float, str | None]], title: str) -> str:
-    """Points of a plane, coloured by label."""
+    """Points of a plane (at most ``FIGURE_POINTS``, or a grid's cells), coloured by label."""
     out = [f'<text x="10" y="15">{html.escape(title)}</text>']
     if rows:
         xs, ys = [r[0] for r in rows], [r[1] for r in rows]
@@ -71,11 +86,25 @@ def write_violin(metrics: DataFrame, path: str, keys: tuple[str, ...] = ("n_gene
     _write(path, violin_svg([found[k] for k in keys if k in found]))
 
 
+def binned(rows: DataFrame, grid: int = GRID) -> DataFrame:
+    """``(x, y, k, n)`` of a grid's cells that hold points ``rows(x, y, k)``: their middle, most frequent label (the first in a tie) and number."""
+    ends = rows.agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for f, n in ((F.min, "least"), (F.max, "most"))])  # one row
+    at = {c: F.least(F.floor(F.coalesce(F.try_divide(F.col(c) - F.col(f"least_{c}"), F.col(f"most_{c}") - F.col(f"least_{c}")), F.lit(0.0)) * grid), F.lit(grid - 1)) for c in ("x", "y")}
+    place = rows.join(F.broadcast(ends)).select(*[at[c].alias(f"at_{c}") for c in at], *[F.col(f"least_{c}") for c in at], *[(F.col(f"most_{c}") - F.col(f"least_{c}")).alias(f"span_{c}") for c in at], "k")
+    counted = place.groupBy("at_x", "at_y", "least_x", "least_y", "span_x", "span_y", "k").agg(F.count("*").alias("n"))
+    best = counted.groupBy("at_x", "at_y", "least_x", "least_y", "span_x", "span_y").agg(F.min_by("k", F.struct(-F.col("n"), "k")).alias("k"), F.sum("n").alias("n"))
+    return best.select(*[(F.col(f"least_{c}") + F.col(f"span_{c}") * (F.col(f"at_{c}") + 0.5) / grid).alias(c) for c in ("x", "y")], "k", "n")
+
+
 def write_scatter(points: DataFrame, label_col: str | None, path: str, title: str, limit: int = 10_000) -> None:
-    """The first two dimensions of ``points.vec``; ``limit`` points at most (0: all)."""
+    """The first two dimensions of ``points.vec``; ``limit`` points at most (0: all), as a grid of cells if there are more than ``FIGURE_POINTS``."""
     label = F.col(f"`{label_col}`").cast("string") if label_col else F.lit(None).cast("string")
     rows = points.where(F.size("vec") >= 2).select(F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), label.alias("k"))
-    _write(path, scatter_svg([tuple(r) for r in qc.sampled(rows, limit).collect()], title))
+    rows = qc.sampled(rows, limit)
+    shown = rows.limit(FIGURE_POINTS + 1).collect()
+    if len(shown) > FIGURE_POINTS:
+        shown = binned(rows).select("x", "y", "k").collect()
+    _write(path, scatter_svg([tuple(r) for r in shown], title))
 
 
 def _write(path: str, text: str) -> None:

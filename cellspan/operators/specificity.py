@@ -91,8 +91,10 @@ def summary(means: DataFrame, markers: DataFrame) -> DataFrame:
 
     ``markers(celltype, gene, pos)``; a gene that is listed several times keeps the last type.
     """
-    last = markers.groupBy("gene").agg(F.max_by("celltype", "pos").alias("expected celltype"))
-    ratio = one_v_max(means.join(last.select("gene"), "gene", "left_semi"))
+    last = written(markers.groupBy("gene").agg(F.max_by("celltype", "pos").alias("expected celltype")), "marker-genes")
+    # Only the markers' rows, and written: the four metrics look at single genes, and none of them works out the means again.
+    means = written(means.join(last.select("gene"), "gene", "left_semi"), "marker-means")
+    ratio = one_v_max(means)
     best = ratio.groupBy("gene").agg(
         F.max_by("celltype", F.when(_best().isNotNull(), F.struct(_best(), F.col("celltype")))).alias("most expressed celltype"), F.max(_best()).alias("one_v_max")
     )

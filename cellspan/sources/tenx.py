@@ -14,26 +14,38 @@ def read_mtx(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, Da
     """``cells(cell_id, cell_pos)``, ``genes(gene_id, gene_pos, gene_name)`` and ``expr(cell_id, gene_id, value)`` of a folder.
 
     The file has a line for each nonzero entry (gene, cell, value; counted from 1), after comments and a line of sizes; so entries
-    are read as text in parallel, and positions become names by two joins with small tables.
+    are read as text in parallel, and positions become names by two joins with small tables.  The line of sizes is told from entries by its place.
+    Another number of entries than it says, or an entry outside the sizes, raises :class:`BrokenMatrix`.
     """
     genes_file = next((f for f in ("genes.tsv", "features.tsv") if os.path.exists(os.path.join(folder, f))), "genes.tsv")
     genes = _lines(spark, os.path.join(folder, genes_file)).select(
         F.col("pos").alias("gene_pos"), F.split("value", "\t")[0].alias("gene_id"), F.coalesce(F.try_element_at(F.split("value", "\t"), F.lit(2)), F.split("value", "\t")[0]).alias("gene_name")
     )
     cells = _lines(spark, os.path.join(folder, "barcodes.tsv")).select(F.trim("value").alias("cell_id"), F.col("pos").alias("cell_pos"))
-    text = spark.read.text(os.path.join(folder, "matrix.mtx")).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
-    sizes = _size_line(spark, os.path.join(folder, "matrix.mtx"))
     parts = F.split(F.trim("value"), r"\s+")
-    entries = text.where(F.trim("value") != sizes).select(
+    lines = _matrix_lines(spark, os.path.join(folder, "matrix.mtx"))
+    head = lines.where("block = 0").agg(F.min("at").alias("at"), F.min_by(F.trim("value"), "at").alias("sizes")).first()
+    if head.sizes is None:
+        raise BrokenMatrix(f"{folder}: matrix.mtx has no line of sizes")
+    entries = lines.where(~((F.col("block") == 0) & (F.col("at") == head["at"]))).select(
         (parts[0].cast("long") - 1).alias("gene_pos"), (parts[1].cast("long") - 1).alias("cell_pos"), F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("1")).cast("double").alias("value")
     )
+    sizes = [int(x) for x in head.sizes.split()]
+    found = entries.agg(F.count("*").alias("n"), F.max("gene_pos").alias("genes"), F.max("cell_pos").alias("cells")).first()
+    if len(sizes) != 3 or found.n != sizes[2] or (found.genes or 0) >= max(1, sizes[0]) or (found.cells or 0) >= max(1, sizes[1]):
+        raise BrokenMatrix(f"{folder}: sizes {head.sizes}, but {found.n} entries up to gene {(found.genes or 0) + 1} and cell {(found.cells or 0) + 1}")
     expr = entries.join(genes.select("gene_pos", "gene_id"), "gene_pos").join(cells, "cell_pos").select("cell_id", "gene_id", "value")
     return cells, genes, expr
 
 
-def _size_line(spark: SparkSession, file: str) -> str:
-    first = spark.read.text(file).where(~F.col("value").startswith("%")).limit(1).first()
-    return first.value.strip() if first else ""
+class BrokenMatrix(ValueError):
+    """A matrix file that contradicts its own line of sizes."""
+
+
+def _matrix_lines(spark: SparkSession, file: str) -> DataFrame:
+    """``(value, block, at)`` of the lines that are no comments: where the file's split begins, and a number that grows within it."""
+    lines = spark.read.text(file).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
 
 
 def _lines(spark: SparkSession, file: str) -> DataFrame:

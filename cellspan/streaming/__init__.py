@@ -16,18 +16,24 @@ def arriving(spark: SparkSession, path: str) -> DataFrame:
 
 
 def upsert_batch(into: str):
-    """Function for ``foreachBatch`` that keeps one row for each name in the Parquet folder ``into``: the latest batch wins."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("seq", F.lit(number).cast("long"))
-        try:
-            old = spark.createDataFrame(spark.read.parquet(into).collect(), new.schema)  # a catalog: one row for each atlas
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = new.limit(0)
-        merged = catalog.upsert(old.unionByName(new)).withColumnRenamed("first_seq", "seq")
-        merged.write.mode("overwrite").parquet(into)
-
-    return merge
+    """Function for ``foreachBatch`` that puts a batch's records into the folder ``into``, as ``batch=<number>``.
+
+    Nothing that is there is read or replaced but the batch's own folder: a batch that is replayed writes the same rows again, and one that broke off
+    is written anew when it is replayed.  :func:`read_catalog` gives one row for each name.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            batch.write.mode("overwrite").parquet(f"{into}/batch={number}")
+
+    return put
+
+
+def read_catalog(spark: SparkSession, into: str) -> DataFrame:
+    """The catalog of all batches: of each name the latest batch's record, and ``first_seq``, the batch that it came with first.
+
+    Within a batch the record whose path sorts last wins, as in a crawl.
+    """
+    found = spark.read.schema(f"{', '.join(f'{c} string' for c in catalog.HEADER)}, batch long").parquet(into)
+    latest = catalog.upsert(found.withColumn("seq", F.struct("batch", "Atlas_path")))
+    return latest.withColumn("first_seq", F.col("first_seq.batch"))

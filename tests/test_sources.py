@@ -5,7 +5,7 @@ import pytest
 from cellspan import cli
 from cellspan.operators import clean, report
 from cellspan.sources import bundle, catalog, tenx
-from cellspan.streaming import arriving, upsert_batch
+from cellspan.streaming import arriving, read_catalog, upsert_batch
 
 
 def put(path, text="x"):
@@ -183,3 +183,104 @@ def test_unique_names_skip_taken_numbers(spark):
     assert got == ["g", "g-2", "g-1", "g-4", "h", "g-3", "h-1", "a-1", "a-1-1"]
     assert clean.names_unique(clean.clean_genes(df)) and not clean.names_unique(df)
     assert [r.gene_name for r in clean.clean_genes(df, raw=True).orderBy("gene_pos").collect()][:2] == ["g_0", "g_1"]
+
+
+def test_an_entry_that_looks_like_the_sizes_stays(spark, tmp_path):
+    put(tmp_path / "genes.tsv", "E1\tA\nE2\tB\n"), put(tmp_path / "barcodes.tsv", "AA\nBB\n")
+    put(tmp_path / "matrix.mtx", "%%MatrixMarket matrix coordinate integer general\n2 2 2\n1 1 5\n2 2 2\n")
+    _, _, expr = tenx.read_mtx(spark, str(tmp_path))
+    assert {(r.cell_id, r.gene_id): r.value for r in expr.collect()} == {("AA", "E1"): 5, ("BB", "E2"): 2}
+
+
+@pytest.mark.parametrize("lines", ["2 2 3\n1 1 5\n2 2 2\n", "2 2 1\n3 1 5\n", "2 2 1\n1 3 5\n", ""])
+def test_a_matrix_that_contradicts_its_sizes(spark, tmp_path, lines):
+    put(tmp_path / "genes.tsv", "E1\tA\nE2\tB\n"), put(tmp_path / "barcodes.tsv", "AA\nBB\n")
+    put(tmp_path / "matrix.mtx", "%%MatrixMarket matrix coordinate integer general\n" + lines)
+    with pytest.raises(tenx.BrokenMatrix):
+        tenx.read_mtx(spark, str(tmp_path))
+
+
+def test_matrix_over_many_splits(spark, tmp_path):
+    put(tmp_path / "genes.tsv", "".join(f"E{i}\tg\n" for i in range(50))), put(tmp_path / "barcodes.tsv", "".join(f"B{i}\n" for i in range(400)))
+    put(tmp_path / "matrix.mtx", "%x\n50 400 20000\n" + "".join(f"{g + 1} {c + 1} {g + 1}\n" for c in range(400) for g in range(50)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        _, _, expr = tenx.read_mtx(spark, str(tmp_path))
+        assert expr.count() == 20_000 and expr.agg({"value": "sum"}).first()[0] == 400 * 50 * 51 / 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_large_tables_and_figures_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(report, "DRIVER_ROWS", 50), monkeypatch.setattr(report, "FIGURE_POINTS", 60)
+    path = str(tmp_path / "t.tsv")
+    report.write_tsv(spark.range(50), path)
+    assert len(open(path).read().splitlines()) == 51
+    report.write_tsv(spark.range(51), path)
+    assert os.path.isdir(path) and spark.read.option("sep", "\t").option("header", True).csv(path).count() == 51
+    report.write_tsv(spark.range(3), path)
+    assert len(open(path).read().splitlines()) == 4
+    points = spark.range(500).select(F.array(F.col("id").cast("double") % 10, F.col("id").cast("double") % 7).alias("vec"), (F.col("id") % 3).alias("k"))
+    report.write_scatter(points, "k", str(tmp_path / "s.svg"), "t", limit=0)
+    assert open(tmp_path / "s.svg").read().count("<circle") == 70
+    cells = report.binned(points.select(F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y"), F.col("k").cast("string").alias("k")), grid=2).collect()
+    assert len(cells) == 4 and sum(r.n for r in cells) == 500
+    report.write_scatter(points, "k", str(tmp_path / "s.svg"), "t", limit=20)
+    assert open(tmp_path / "s.svg").read().count("<circle") == 20
+
+
+def test_replayed_and_broken_batches(spark, tmp_path):
+    into, put_batch = str(tmp_path / "catalog"), upsert_batch(str(tmp_path / "catalog"))
+    one = catalog.classify(spark.createDataFrame([("/a/x.h5ad",), ("/a/y.rds",)], "path string"))
+    two = catalog.classify(spark.createDataFrame([("/b/x.h5ad",), ("/b/w.h5ad",), ("/c/w.h5ad",)], "path string"))
+    put_batch(one, 0), put_batch(two, 1)
+    want = {("x", "/b/x.h5ad", 0), ("y", "/a/y.rds", 0), ("w", "/c/w.h5ad", 1)}
+    assert {(r.Atlas_name, r.Atlas_path, r.first_seq) for r in read_catalog(spark, into).collect()} == want
+    put_batch(two, 1)  # replayed
+    for f in os.listdir(os.path.join(into, "batch=1")):  # broken off: some files are gone
+        os.remove(os.path.join(into, "batch=1", f))
+    assert read_catalog(spark, into).count() == 2
+    put_batch(two, 1)
+    assert {(r.Atlas_name, r.Atlas_path, r.first_seq) for r in read_catalog(spark, into).collect()} == want
+    assert read_catalog(spark, into).count() == 3
+
+
+@pytest.fixture
+def seurat(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    cells = spark.createDataFrame(
+        [(f"c{i}", i, 100.0 * i, 10.0 + i, 2.5, "AB"[i % 2], ["T", "B", "NK"][i % 3]) for i in range(12)],
+        "cell_id string, cell_pos long, nCount_RNA double, nFeature_RNA double, `percent.mito` double, louvain string, celltype string",
+    )
+    genes = spark.createDataFrame([(f"g{i}", i, f"g{i}") for i in range(4)], "gene_id string, gene_pos long, gene_name string")
+    expr = cells.crossJoin(genes).select("cell_id", "gene_id", (F.col("cell_pos") % 3 + F.col("gene_pos")).cast("double").alias("value")).where("value <> 0")
+    embed = cells.select(F.lit("umap").alias("obsm_key"), "cell_id", F.array((F.col("cell_pos") % 2).cast("double") * 5 + F.col("cell_pos") * 0.1, F.col("cell_pos").cast("double")).alias("vec"))
+    rows = [("obs", c, i) for i, c in enumerate(cells.columns[2:])] + [("obsm", "umap", 0)]
+    made = bundle.Bundle("s", catalog.SEURAT, cells, genes, expr, embed, spark.createDataFrame(rows, bundle.MANIFEST))
+    put(tmp_path / "s.rds")
+    bundle.write_bundle(made, str(tmp_path / "s.bundle"))
+    cli.main(["list_seurat", str(tmp_path)], spark)
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("process, folder", [("summary", "summary"), ("qc", "qc"), ("metric_cluster", "cluster"), ("metric_annot", "annotation"), ("metric_dimred", "dimred"), ("specificity", "specificity")])
+def test_seurat_bundle_through_every_command(spark, seurat, process, folder):
+    cli.main([process, "s", seurat], spark)
+    lines = open(catalog.file_path(seurat, folder, "s")).read().splitlines()
+    head = lines[0].split("\t")
+    if process == "summary":
+        assert lines[1].split("\t")[:3] == ["Seurat", "12", "4"] and os.path.exists(catalog.file_path(seurat, "umap", "s", catalog.UMAP_FIGURE))
+    if process == "qc":
+        assert "cellrank_total_counts" in head and len(lines) == 13 and os.path.exists(catalog.file_path(seurat, "violin", "s", catalog.QC_FIGURE))
+    if process == "metric_cluster":
+        assert head[:2] == ["Clust_Sample", "obs"] and {x.split("\t")[1] for x in lines[1:]} <= {"louvain", "celltype"} and len(lines) > 1
+    if process == "metric_annot":
+        assert head[0] == "Annot_Sample" and len(lines) > 1
+    if process == "metric_dimred":
+        assert lines[1].split("\t")[1] == "umap"
+    if process == "specificity":
+        assert len(lines) == 5
