@@ -194,6 +194,11 @@ def _violin(key: str) -> str:
 VIOLIN_SUMMARY = f"WITH {_SUMS} " + " UNION ALL ".join(map(_violin, ("n_genes_by_counts", "total_counts", "pct_counts_mt", "pct_counts_ribo")))
 
 
+SAMPLED_CELLS = """
+SELECT c_custkey AS cell_id FROM customer ORDER BY md5('7|' || CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "qc_cell_metrics": QC_CELL_METRICS,
@@ -234,4 +239,5 @@ def oracle_sql() -> dict[str, str]:
         "specificity_summary": SPECIFICITY_SUMMARY,
         "marker_intersection": MARKER_INTERSECTION,
         "violin_summary": VIOLIN_SUMMARY,
+        "sampled_cells": SAMPLED_CELLS,
     }
