@@ -3,39 +3,52 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-CHECKPOINT_CONF = "spark.checkpoint.dir"
+from cellspan.functions.durable import shared_dir
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only where that setting is absent (single-machine tests) a temporary folder is made and set.
-    """
-    context = spark.sparkContext
-    path = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF) or context.getCheckpointDir()
-    if not path:
-        if not context.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cellspan-"))
-        path = context.getCheckpointDir()
-    return path.rstrip("/")
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables, in the folder that driver and executors share."""
+    return f"{shared_dir(spark)}/cellspan/{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; with ``by`` in a folder for each value of that column.
 
     It cuts the lineage: a lost executor costs the reading tasks only, and both branches of a plan
     that use the table see the very same rows.
     """
-    path = f"{shared_dir(df.sparkSession)}/cellspan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    schema = T.StructType([f for f in df.schema if f.name != by] + [f for f in df.schema if f.name == by])
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names for working columns that ``df`` has no column of, whatever their case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return tuple(found)
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns; those that hold maps go in as JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`").alias("x"))) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema])
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -82,7 +95,7 @@ def _batch(pa, rows, schema):
 def materialise_bucketed(df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
     """Like :func:`materialise`, dealt into buckets by ``column``, so that grouping by it later needs no shuffle."""
     spark, table = df.sparkSession, f"cellspan_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/cellspan/{name}-{table}"
+    path = f"{own_folder(spark)}/{name}-{table}"
     df.write.format("parquet").bucketBy(buckets, column).option("path", path).saveAsTable(table)
     found = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # its name only: the files of a table with a path of its own stay
@@ -90,6 +103,6 @@ def materialise_bucketed(df: DataFrame, name: str, buckets: int, column: str) ->
 
 
 def forget(spark: SparkSession) -> None:
-    """Delete all intermediate tables of the shared folder; only once no result that reads them is needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cellspan")
+    """Delete this application's intermediate tables; only once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,8 +8,8 @@ that two tasks have seen was seen again).  Pass 2 tests each row: if one of its
 text is unique for certain and the row passes straight through.  Only the rest shuffles, by text hash, with partial
 aggregation before; so false positives cost some shuffling and never a wrong result.
 
-The filter has 16 cells a row, and ``MAX_CELLS`` at most (128 MB broadcast); beyond that more unique rows are
-shuffled, and results stay the same.
+The filter has 16 cells a row.  Where that is more than ``MAX_CELLS`` (a broadcast of 32 MB), rows are put into folders by ranges of another hash, without a shuffle, and
+each range has a filter of its own, one range after the other; so at any size a task holds one bounded filter, and the same share of unique rows passes straight through.
 
 Defined results: null text equals the empty one; the row with the smallest id stays, null ids come last; of rows with
 equal id and text exactly one stays; an empty table gives an empty result; :func:`deduplicate` returns the rows with all
@@ -26,13 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellspan.llm.common import materialise, shuffle_partitions, text_or_empty
+from cellspan.llm.common import materialise, row_hash, shuffle_partitions, text_or_empty, unused
 
-#: Cells a row and at most in all, marks a row, cells a segment.
-CELLS_A_ROW, MAX_CELLS, MARKS, SEGMENT = 16, 1 << 30, 4, 1 << 16
-
-#: Names of working columns; unlikely in any input, and never returned.
-_KEY, _HASH, _ROW = "__cellspan_key", "__cellspan_hash", "__cellspan_row"
+#: Cells a row, cells of a filter at most, marks a row, cells a segment.
+CELLS_A_ROW, MAX_CELLS, MARKS, SEGMENT = 16, 1 << 28, 4, 1 << 16
 
 
 def normalised(text_col: str = "text") -> Column:
@@ -69,7 +66,7 @@ def _plane(data: bytes) -> np.ndarray:
 
 
 def repeated_filter(hashes: DataFrame, column: str, cells: int) -> np.ndarray:
-    """The ``again`` plane (bits) of all 64-bit hashes in ``column``; at most ``MAX_CELLS / 8`` bytes."""
+    """The ``again`` plane (bits) of all 64-bit hashes in ``column``; ``cells / 8`` bytes."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, again = {}, {}
@@ -121,18 +118,28 @@ def repeated_filter(hashes: DataFrame, column: str, cells: int) -> np.ndarray:
     tasks = shuffle_partitions(hashes.sparkSession)
     merged = hashes.select(column).mapInArrow(mark, schema).repartition(tasks, "segment").mapInArrow(merge, schema)
     plane = np.zeros(cells // 8, np.uint8)
-    for row in merged.select("segment", "again").toLocalIterator():
+    for row in merged.select("segment", "again").collect():  # compressed; less than the plane
         plane[row.segment * SEGMENT // 8 : (row.segment + 1) * SEGMENT // 8] = _plane(bytes(row.again))
     return plane
 
 
 def filter_size(rows: int) -> int:
+    """Cells of a filter for so many rows: a power of two."""
     cells = SEGMENT
-    while cells < CELLS_A_ROW * rows and cells < MAX_CELLS:
+    while cells < CELLS_A_ROW * rows:
         cells *= 2
     return cells
 
 
+def ranges_of(rows: int) -> int:
+    """How many ranges of hashes it takes that the filter of each has ``MAX_CELLS`` at most, with some room for uneven ranges."""
+    return 1 if filter_size(rows) <= MAX_CELLS else -(-rows * CELLS_A_ROW * 5 // (MAX_CELLS * 4))
+
+
+def _range(hash_col: str, ranges: int) -> Column:
+    return F.pmod(F.xxhash64(hash_col, F.lit(1)), F.lit(ranges)).cast("int")
+
+
 def possibly_repeated(df: DataFrame, key: str):
     """Function of a 64-bit hash column: may a row with this hash have an equal one?  ``key`` holds the hashes of ``df``."""
     cells = filter_size(df.count())
@@ -149,15 +156,23 @@ def possibly_repeated(df: DataFrame, key: str):
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, keep_id, group_size, kept, text_sha256)`` of every row, dropped ones too."""
+    ranges = ranges_of(df.count())
     hashed = df.select(F.col(id_col).alias("id"), F.unhex(digest(text_col)).alias("key"))
-    table = materialise(hashed.select("id", "key", F.monotonically_increasing_id().alias("row")), "text-hashes")
-    table = table.withColumn("hash", _hash("key"))
-    test = possibly_repeated(table.select("hash"), "hash")
-    tested = table.withColumn("maybe", test("hash"))
-    alone = tested.where(~F.col("maybe")).select(
-        "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "key"
-    )
-    maybe = materialise(tested.where("maybe").select("id", "key", "row"), "maybe-repeated")
+    hashed = hashed.select("id", "key", F.monotonically_increasing_id().alias("row"))
+    if ranges > 1:
+        hashed = hashed.withColumn("range", _range("key", ranges))
+    table = materialise(hashed, "text-hashes", "range" if ranges > 1 else None).withColumn("hash", _hash("key"))
+    alone = maybe = None
+    for k in range(ranges):
+        part = table.where(F.col("range") == k) if ranges > 1 else table
+        tested = part.select("id", "key", "row", possibly_repeated(part.select("hash"), "hash")("hash").alias("maybe"))
+        if ranges > 1:  # so that the filter of one range at a time is held
+            tested = materialise(tested, "tested-hashes")
+        mine = tested.where(~F.col("maybe"))
+        alone = mine if alone is None else alone.unionByName(mine)
+        mine = materialise(tested.where("maybe").select("id", "key", "row"), "maybe-repeated")
+        maybe = mine if maybe is None else maybe.unionByName(mine)
+    alone = alone.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "key")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
     # Written and read again, so that both sides of the join are dealt afresh and a hot group can be split.
     of_key = materialise(maybe.groupBy("key").agg(F.min(order).alias("first"), F.count("*").alias("group_size")), "text-groups")
@@ -171,11 +186,23 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; unique rows pass straight through."""
-    columns = df.columns
-    keyed = df.withColumn(_KEY, F.unhex(digest(text_col))).withColumn(_HASH, _hash(_KEY))
-    test = possibly_repeated(materialise(keyed.select(_HASH), "text-hashes"), _HASH)
-    tested = keyed.withColumn(_ROW, test(_HASH))
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
-    whole = F.struct(*[F.col(f"`{c}`") for c in columns])
-    first = tested.where(_ROW).groupBy(_KEY).agg(F.min_by(whole, order).alias(_ROW))
-    return tested.where(~F.col(_ROW)).select(*[F.col(f"`{c}`") for c in columns]).unionByName(first.select(f"{_ROW}.*"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    key, hash_, maybe, range_ = unused(df, "cellspan_key", "cellspan_hash", "cellspan_maybe", "cellspan_range")
+    ranges = ranges_of(df.count())
+    keyed = df.withColumn(key, F.unhex(digest(text_col))).withColumn(hash_, _hash(key))
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), row_hash(df))
+    if ranges > 1:
+        keyed = materialise(keyed.withColumn(range_, _range(hash_, ranges)), "texts-by-range", range_)
+        hashes = keyed.select(hash_, range_)
+    else:
+        hashes = materialise(keyed.select(hash_), "text-hashes")
+    found = None
+    for k in range(ranges):
+        part, of_part = (keyed.where(F.col(range_) == k), hashes.where(F.col(range_) == k).select(hash_)) if ranges > 1 else (keyed, hashes)
+        tested = part.withColumn(maybe, possibly_repeated(of_part, hash_)(hash_))
+        first = tested.where(maybe).groupBy(key).agg(F.min_by(F.struct(*columns), order).alias(maybe))
+        kept = tested.where(~F.col(maybe)).select(*columns).unionByName(first.select(f"{maybe}.*"))
+        if ranges > 1:
+            kept = materialise(kept, "texts-that-stay")
+        found = kept if found is None else found.unionByName(kept)
+    return found

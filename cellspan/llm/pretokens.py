@@ -127,8 +127,8 @@ class WordCache(dict):
     and what the old one held and nobody asked for since is gone; so frequent words stay.
     """
 
-    def __init__(self, encode, seed: dict | None = None, limit: int = 250_000):
-        super().__init__(seed or {})
+    def __init__(self, encode, limit: int = 250_000):
+        super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, word: str):
@@ -142,6 +142,20 @@ class WordCache(dict):
         return value
 
 
+class Frequent(dict):
+    """A fixed table of frequent pre-tokens' encodings; what it lacks is looked up in ``rest`` and never enters it."""
+
+    def __init__(self, table: dict, rest: WordCache):
+        super().__init__(table)
+        self.rest = rest
+
+    def __missing__(self, word: str):
+        return self.rest[word]
+
+    def __setitem__(self, word: str, value) -> None:
+        raise TypeError("the table is fixed")
+
+
 def segments(text: str, path: str | None = None):
     """(is_special, string) parts of a text, cut at special strings as the tokenizer does."""
     found = special_pattern(path)

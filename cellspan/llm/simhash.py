@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellspan.llm.common import materialise, text_or_empty
+from cellspan.llm.common import materialise, row_hash, text_or_empty, unused
 from cellspan.llm.components import components
 
 RADIUS, WORDS, SEED = 3, 3, 42
@@ -407,9 +407,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return table.join(named, "fingerprint").select(F.col("id").alias(id_col), hex_digits("fingerprint").alias("fingerprint"), "component_id")
 
 
-_KEY, _SAME, _PRINT = "__cellspan_key", "__cellspan_same", "__cellspan_print"
-
-
 def one_of_each(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -424,14 +421,14 @@ def one_of_each(
 
     Near copies have ``share`` of their distinct shingles in common; without a share, fingerprints that differ in ``within`` bits at most.
     """
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    keyed = df.withColumn(_KEY, F.xxhash64(*columns))
+    own, of_id, of_key = unused(df, "cellspan_key", "cellspan_id", "cellspan_same")
+    keyed = df.withColumn(own, row_hash(df))
     prints = set_column if share else planes_column
     table = materialise(
-        keyed.select(F.col(id_col).alias("id"), F.col(_KEY).alias("key"), prints(words, planes)(text_or_empty(text_col)).alias("f")).select("id", "key", "f.*"), "fingerprints"
+        keyed.select(F.col(id_col).alias("id"), F.col(own).alias("key"), prints(words, planes)(text_or_empty(text_col)).alias("f")).select("id", "key", "f.*"), "fingerprints"
     )
     if share:
-        texts = keyed.select(F.col(_KEY).alias("key"), text_or_empty(text_col).alias("text"))
+        texts = keyed.select(F.col(own).alias("key"), text_or_empty(text_col).alias("text"))
         of_node = _component_of_node(table, radius, CANDIDATES if within is None else within, texts=texts, words=words, share=share)
     else:
         table = table.withColumn("node", F.xxhash64("fingerprint", "more"))
@@ -442,11 +439,14 @@ def one_of_each(
     chosen = of_each.groupBy("component").agg(F.min("best").alias("best")).select("best.id", "best.key")
     # Rows that are equal in every column have one key; how many there are says whether one has to be picked.
     same = table.groupBy("id", "key").agg(F.count("*").alias("n"))
-    chosen = materialise(chosen.join(same, chosen.id.eqNullSafe(same.id) & (chosen.key == same.key)).select(chosen.id.alias(_PRINT), chosen.key.alias(_SAME), "n"), "chosen")
+    chosen = materialise(chosen.join(same, chosen.id.eqNullSafe(same.id) & (chosen.key == same.key)).select(chosen.id.alias(of_id), chosen.key.alias(of_key), "n"), "chosen")
 
     def rows(which: DataFrame) -> DataFrame:
-        return keyed.join(which, (F.col(_KEY) == F.col(_SAME)) & F.col(id_col).eqNullSafe(F.col(_PRINT)), "left_semi").drop(_KEY)
+        return keyed.join(which, (F.col(own) == F.col(of_key)) & F.col(id_col).eqNullSafe(F.col(of_id)), "left_semi")
 
-    alone = rows(chosen.where("n = 1"))
+    alone = rows(chosen.where("n = 1")).drop(own)
     several = chosen.where("n > 1")
-    return alone if several.isEmpty() else alone.unionByName(rows(several).dropDuplicates())
+    if several.isEmpty():
+        return alone
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return alone.unionByName(rows(several).groupBy(own, F.col(id_col).alias(of_id)).agg(F.first(whole).alias(of_key)).select(f"{of_key}.*"))

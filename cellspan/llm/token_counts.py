@@ -1,8 +1,9 @@
 """Token counts of whole texts: a map-side two-tier lookup of pre-token lengths, without a shuffle of pre-tokens.
 
-Tier 1 is a broadcast table of the most frequent pre-tokens and their lengths.  Which those are is counted over all
+Tier 1 is a broadcast hash table of the most frequent pre-tokens and their lengths (sent as one string and a byte for each; a worker makes a fixed table of it, which
+nothing enters or leaves).  Which those are is counted over all
 texts: each task keeps the counts of its own texts and hands over its ``per_task`` most frequent ones, whose sums are
-ranked; that is a bounded sketch, and no pre-token row is shuffled.  Tier 2 is a bounded cache in each Python worker, which
+ranked; that is a bounded sketch, and no pre-token row is shuffled.  Tier 2 is a bounded cache in each Python worker, apart from tier 1, which
 has the tokenizer encode what tier 1 lacks.  The tables change the speed only; every count is exact.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); null or repeated ids are kept as they are, one row each;
@@ -51,12 +52,12 @@ def frequent_pretokens(df: DataFrame, text_col: str = "text", size: int = TIER1,
 _caches: dict = {}
 
 
-def _cache(table) -> pretokens.WordCache:
+def _cache(table) -> pretokens.Frequent:
     """This worker's two tiers for a broadcast table; kept between tasks."""
     if table.id not in _caches:
         _caches.clear()
         path, words, lengths = table.value
-        _caches[table.id] = pretokens.WordCache(length_of(path), dict(zip(words.split("\0"), lengths, strict=True)) if lengths else {})
+        _caches[table.id] = pretokens.Frequent(dict(zip(words.split("\0"), lengths, strict=True)) if lengths else {}, pretokens.WordCache(length_of(path)))
     return _caches[table.id]
 
 
@@ -76,7 +77,7 @@ def length_of(path: str | None = None):
     return lambda word: len(encode(word))
 
 
-def count_text(text: str, cache: pretokens.WordCache, path: str | None = None) -> int:
+def count_text(text: str, cache: dict, path: str | None = None) -> int:
     return sum(1 if special else sum(map(cache.__getitem__, pretokens.split(part))) for special, part in pretokens.segments(text, path))
 
 

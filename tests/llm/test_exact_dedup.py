@@ -59,3 +59,40 @@ def test_filter_has_no_false_negatives(spark):
 
     assert test(again).all()
     assert test(values).sum() < len(again) + 200
+
+
+def test_many_ranges_give_the_same_and_only_possibly_repeated_rows_shuffle(spark, monkeypatch):
+    from cellspan.llm import exact_dedup
+
+    rows = [(i, f"text {i if i % 10 else i % 100}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    least, size = {}, {}
+    for i, t in rows:
+        least[t], size[t] = min(least.get(t, i), i), size.get(t, 0) + 1
+    monkeypatch.setattr(exact_dedup, "MAX_CELLS", 1 << 16)
+    assert exact_dedup.ranges_of(20_000) > 4
+    written = {}
+    plain = exact_dedup.materialise
+
+    def counted(table, name, by=None):
+        made = plain(table, name, by)
+        written[name] = written.get(name, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(exact_dedup, "materialise", counted)
+    for r in exact_dedup.groups(df).collect():
+        t = rows[r.doc_id][1]
+        assert (r.keep_id, r.group_size, r.kept) == (least[t], size[t], least[t] == r.doc_id)
+    repeated = sum(n for n in size.values() if n > 1)
+    assert repeated <= written["maybe-repeated"] <= repeated + 0.05 * len(rows)
+    assert sorted(r.doc_id for r in exact_dedup.deduplicate(df).collect()) == sorted(least.values())
+
+
+def test_map_columns_and_names_that_clash(spark):
+    from cellspan.llm import exact_dedup, simhash
+
+    rows = [(1, "a b c d e f", {"x": 1}, "k1", b"h", 1.0), (2, "a b  c d e f", {"y": 2}, "k2", b"h", 2.0), (3, "other words are in this text", {}, None, None, None), (3, "other words are in this text", {}, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, cellspan_key string, CELLSPAN_HASH binary, __cellspan_key double")
+    for keep in (exact_dedup.deduplicate, simhash.one_of_each, lambda d: simhash.one_of_each(d, share=0.8)):
+        found = sorted(keep(df).collect())
+        assert found == sorted(df.where("doc_id <> 2").collect())[:2] and keep(df).columns == df.columns

@@ -1,7 +1,7 @@
 import re
 
 from test_packing import check
-from test_simhash import brute, brute_planes, near_copies
+from test_simhash import alike, brute, brute_planes, near_copies, shingle_set
 
 import corpus_pipeline
 from cellspan.llm import exact_dedup, language_id, quality, simhash
@@ -27,7 +27,7 @@ def test_stages_match_brute_force(spark, sf_dir, docs):
     apart = stages["SimHash near-dedup"](spark, single, sf_dir).cache()
     rows = single.collect()
     ids = [r.doc_id for r in rows]
-    assert sorted(r.doc_id for r in apart.collect()) == sorted(set(brute([brute_planes(r.text) for r in rows], ids, near_copies)))
+    assert sorted(r.doc_id for r in apart.collect()) == sorted(set(brute([shingle_set(r.text) for r in rows], ids, alike)))
     assert apart.columns == docs.columns
     bins, at_least = check(apart, stages["best-fit packing"](spark, apart, sf_dir).collect())
     assert bins <= 1.03 * at_least + 1
@@ -44,6 +44,9 @@ def test_edges_pass_all_stages(spark, sf_dir, edge, empty):
             out = stage(spark, df, sf_dir)
             assert out.columns == df.columns
             out.collect()
+        packed = corpus_pipeline.STAGES[-1][1](spark, df, sf_dir)
+        assert {"doc_id", "piece", "sequence_id", "offset"} <= set(packed.columns)
+        assert packed.where("piece = 0").count() == df.count()
 
 
 def test_one_of_each_picks_one_of_equal_rows(edge):
@@ -58,8 +61,6 @@ def test_one_of_each_picks_one_of_equal_rows(edge):
 
 
 def test_near_dedup_stage_goes_by_the_share_of_shingles(spark, sf_dir, docs):
-    from test_simhash import alike, shingle_set
-
     single = exact_dedup.deduplicate(docs).cache()
     rows = single.collect()
     want = sorted(set(brute([shingle_set(r.text) for r in rows], [r.doc_id for r in rows], alike)))

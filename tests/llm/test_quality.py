@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from cellspan.llm import quality
 
@@ -54,3 +55,67 @@ def test_long_and_odd_texts_have_profiles():
     for text in ("😀" * 1000, "\n" * 50, "a" * 100_000, "\x00", "é" * 3):
         p = quality.Profile(text)
         assert quality.features(p).shape == (quality.BINS,) and np.isfinite(quality.features(p)).all()
+
+
+def test_matches_a_plain_expectation_maximisation(docs):
+    """EM over single rows with loops, in place of counted vote patterns."""
+    import math
+
+    rows = [quality.votes(quality.Profile(r.text or "")) for r in docs.collect()]
+    k = len(quality.LABELLERS)
+    on_good, on_bad, share = [0.95] * k, [0.5] * k, 0.8
+    for _ in range(100):
+        post = []
+        for v in rows:
+            log = math.log(share / (1 - share))
+            for i, x in enumerate(v):
+                if x == 1:
+                    log += math.log(on_good[i] / (1 - on_bad[i]))
+                elif x == 2:
+                    log += math.log((1 - on_good[i]) / on_bad[i])
+            post.append(1 / (1 + math.exp(-max(-40.0, min(40.0, log)))))
+        before = on_good + on_bad
+        for i in range(k):
+            voted = [j for j, v in enumerate(rows) if v[i]]
+            good, bad = sum(post[j] for j in voted), sum(1 - post[j] for j in voted)
+            on_good[i] = min(0.9999, max(0.5, (sum(post[j] for j in voted if rows[j][i] == 1) + 19) / (good + 20)))
+            on_bad[i] = min(0.9999, max(0.02, (sum(1 - post[j] for j in voted if rows[j][i] == 2) + 1) / (bad + 2)))
+        share = min(0.99, max(0.01, sum(post) / len(post)))
+        if max(abs(a - b) for a, b in zip(before, on_good + on_bad)) < 1e-7:
+            break
+    counts = {}
+    for v in rows:
+        counts[quality.pattern(v)] = counts.get(quality.pattern(v), 0) + 1
+    weak = quality.WeakLabels(counts)
+    assert all(abs(a - b) < 1e-6 for a, b in zip([*weak.on_good, *weak.on_bad, weak.share], [*on_good, *on_bad, share]))
+
+
+def test_features_and_scores_match_loops(spark, docs):
+    import math
+
+    model = quality.fit(docs)
+    found = {r.doc_id: r for r in quality.classify(docs).collect()}
+    bits = quality.BINS.bit_length() - 1
+    for r in docs.collect()[:12]:
+        p = quality.Profile(r.text or "")
+        runs = [int(c) for i, c in enumerate(p.classes) if i == 0 or c != p.classes[i - 1]]
+        x = [0.0] * quality.BINS
+        for n in (1, 2, 3):
+            for i in range(len(runs) - n + 1):
+                h = 0
+                for c in runs[i : i + n]:
+                    h = (h * 131 + c + 1) % (1 << 64)
+                x[((h * 0x9E3779B97F4A7C15 + n) % (1 << 64)) >> (64 - bits)] += 10.0 / (len(runs) - n + 1)
+        made = quality.features(p)
+        rest = [a - b for a, b in zip(made.tolist(), x)]
+        assert all(abs(d - round(d)) < 1e-3 for d in rest) and round(sum(rest)) == 8  # a bin for each statistic
+        score = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(made.tolist(), model.weights.tolist())) + float(model.weights[-1]))))
+        assert abs(found[r.doc_id].score - score) < 1e-4 and found[r.doc_id].kept == (found[r.doc_id].score >= quality.THRESHOLD)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_agrees_with_labels_that_it_never_sees(spark, sf):
+    found = {r.doc_id: r.kept for r in quality.classify(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()}
+    known = [(r.quality, found[r.doc_id]) for r in spark.read.parquet(f"/root/testdata/{sf}/labels.parquet").collect()]
+    assert sum(k for y, k in known if y) >= 0.995 * sum(y for y, _ in known)
+    assert sum(not k for y, k in known if not y) >= 0.95 * sum(not y for y, _ in known)

@@ -44,6 +44,7 @@ def test_same_rows_as_sql(name, spark):
 
 def test_forget(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
-    assert common.materialise(spark.range(3), "x").count() == 3 and os.listdir(tmp_path / "cellspan")
+    (tmp_path / "cellspan" / "another-application").mkdir(parents=True)
+    assert common.materialise(spark.range(3), "x").count() == 3 and len(os.listdir(tmp_path / "cellspan")) == 2
     common.forget(spark)
-    assert not os.path.exists(tmp_path / "cellspan")
+    assert os.listdir(tmp_path / "cellspan") == ["another-application"]

@@ -21,7 +21,7 @@ def test_empty(empty):
 
 
 def test_small_caches_change_nothing(doc_rows):
-    cache = pretokens.WordCache(token_counts.length_of(), {"the": 1}, limit=50)
+    cache = pretokens.Frequent({"the": 1}, pretokens.WordCache(token_counts.length_of(), limit=50))
     tokenizer = pretokens.json_tokenizer()
     for r in list(doc_rows.values())[:40]:
         assert token_counts.count_text(r.text, cache) == len(tokenizer.encode(r.text, add_special_tokens=False).ids)
@@ -43,3 +43,21 @@ def test_split_covers_and_fast_path_agrees():
     for text in ["it's 5² ½ \xa0\x85  x", "a\x1cb\x1fc", "ÀÉ×÷ª  \n\n y", "I'LL we'll 'sx", "", " ", "日本 a"]:
         assert pretokens.split(text) == pretokens._general().findall(text)
         assert "".join(pretokens.split(text)) == text
+
+
+def test_the_first_tier_outlives_what_the_cache_forgets():
+    from cellspan.llm import pretokens, token_counts
+
+    asked = []
+    cache = pretokens.WordCache(lambda w: asked.append(w) or len(w), limit=3)
+    table = pretokens.Frequent({"often": 1, "the": 1}, cache)
+    text = "often" + "".join(f" w{i} the" for i in range(50))
+    words = pretokens.split(text)
+    assert sum(map(table.__getitem__, words)) == sum(1 if w in ("often", "the") else len(w) for w in words)
+    assert dict(table) == {"often": 1, "the": 1} and len(cache) <= 3 and "often" not in asked
+    try:
+        table["new"] = 1
+        raise AssertionError("the table took a word")
+    except TypeError:
+        pass
+    assert token_counts.count_text(text, table) == sum(map(table.__getitem__, words))
