@@ -25,7 +25,7 @@ def test_small_caches_change_nothing(doc_rows):
     tokenizer = pretokens.json_tokenizer()
     for r in list(doc_rows.values())[:40]:
         assert token_counts.count_text(r.text, cache) == len(tokenizer.encode(r.text, add_special_tokens=False).ids)
-        assert len(cache) <= 51 and len(cache.old) <= 50
+        assert len(cache.rest) <= 51 and len(cache.rest.old) <= 50 and len(cache) == 1
 
 
 def test_word_encoder_agrees_with_the_library(doc_rows):
