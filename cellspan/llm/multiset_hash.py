@@ -10,6 +10,8 @@ The vector has two parts:
 * ``LANES`` small counters, three to a long of 60 bits (each modulo 2**20): a counter grows by one bit of a hash of the line.  With the
   number of lines, also summed, a counter gives a sum of random signs, so the mean square of the counters' differences
   estimates how many lines two texts don't share.  :func:`likeness` is ``1 - apart / (lines + lines)``, cut to 0..1.
+  The sum of signs is read modulo 2**21 as the number next to zero, so counters may overflow: it is right as long as it lies within
+  2**20, which takes one line some million times over to leave, not a million different ones.
 
 Its error is about ``sqrt(2 / LANES)`` (0.13) for texts that share nothing and falls to 0 as they come to share all.
 
@@ -87,7 +89,7 @@ def fingerprint(vec: Column) -> Column:
 
 def _squares(left: Column, right: Column | None) -> Column:
     """Sum over the lanes of (2 * counter - lines) squared, of the difference of two vectors or of one."""
-    lane = (1 << LANE_BITS) - 1
+    lane, half = (1 << LANE_BITS) - 1, 1 << LANE_BITS
     lines = F.element_at(left, WIDTH) - (F.element_at(right, WIDTH) if right is not None else F.lit(0))
 
     def of_pack(sums: Column, i: Column) -> Column:
@@ -95,8 +97,9 @@ def _squares(left: Column, right: Column | None) -> Column:
         for k in range(LANES_A_PACK):
             a = F.shiftrightunsigned(F.element_at(left, i), LANE_BITS * k).bitwiseAND(F.lit(lane))
             b = F.shiftrightunsigned(F.element_at(right, i), LANE_BITS * k).bitwiseAND(F.lit(lane)) if right is not None else F.lit(0)
-            apart = (F.lit(2) * (a - b) - lines).cast("double")
-            total = total + apart * apart
+            # A counter is known modulo 2**20, so twice a counter modulo 2**21.
+            signs = (F.lit(2) * (a - b) - lines + F.lit(half)).bitwiseAND(F.lit(2 * half - 1)) - F.lit(half)
+            total = total + signs.cast("double") * signs.cast("double")
         return total
 
     return F.aggregate(F.sequence(F.lit(STRONG + 1), F.lit(STRONG + PACKS)), F.lit(0.0), of_pack)

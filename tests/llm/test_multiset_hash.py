@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,29 @@ def test_likeness_follows_the_shared_lines(spark):
     assert got[0] == 1.0
 
 
+def counted(rng, n):
+    """The packed counters of n different lines, as whole numbers."""
+    lanes = [int(x) for x in rng.binomial(n, 0.5, multiset_hash.LANES)]
+    k = multiset_hash.LANES_A_PACK
+    return [sum(c << (multiset_hash.LANE_BITS * j) for j, c in enumerate(lanes[i : i + k])) for i in range(0, len(lanes), k)]
+
+
+@pytest.mark.parametrize("n", [1_000, 3_000_000, 40_000_000])
+def test_likeness_outlives_the_counters(spark, n):
+    rng = np.random.default_rng(1)
+    shared, own, other = (counted(rng, n) for _ in range(3))
+
+    def vector(*parts):
+        packs = [sum(p) & multiset_hash.PACK_MASK for p in zip(*parts, strict=True)]
+        return [id(parts)] * multiset_hash.STRONG + packs + [n * len(parts)]
+
+    pairs = [(vector(shared, own), vector(shared, other)), (vector(own), vector(other)), (vector(shared, own), vector(shared))]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a array<long>, b array<long>")
+    got = [r[0] for r in df.select("i", multiset_hash.likeness(F.col("a"), F.col("b")).alias("x")).orderBy("i").select("x").collect()]
+    for x, want in zip(got, [0.5, 0.0, 1 - 1 / 3], strict=True):
+        assert abs(x - want) < 0.2
+
+
 def brute(rows):
     def order(r):
         return (r.doc_id is not None, r.doc_id or 0, (r.text or "").encode())
