@@ -84,7 +84,7 @@ def run(spark: SparkSession, args: argparse.Namespace, name: str, path: str) ->
                 points = atlas.points(key, *keys[:1])
                 report.write_scatter(points, keys[0] if keys else None, catalog.file_path(path, kind, name, ending), f"{name} {key}", args.plot_celllimit)
     elif args.process == "qc":
-        metrics, wanted = _qc(atlas, args.qc_display, seurat)
+        metrics, wanted = quality_table(atlas, args.qc_display, seurat)
         report.write_tsv(qc.ranked(metrics, wanted, args.plot_celllimit).drop("cell_id"), catalog.file_path(path, "qc", name))
         report.write_violin(metrics, catalog.file_path(path, "violin", name, catalog.QC_FIGURE))
     elif args.process == "specificity":
@@ -105,7 +105,7 @@ def run(spark: SparkSession, args: argparse.Namespace, name: str, path: str) ->
             report.write_tsv(table, catalog.file_path(path, {"annot": "annotation"}.get(family, family), name))
 
 
-def _qc(atlas: bundle.Bundle, display: list[str], seurat: bool):
+def quality_table(atlas: bundle.Bundle, display: list[str], seurat: bool):
     """Metrics of all cells and the keys to rank: computed, or (Seurat) the export's own columns under the common names."""
     if seurat:
         own = select.qc_keys_seurat(atlas.cells.columns, tuple(display))

@@ -27,6 +27,11 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qc.gene_classes(part, mt=MT, ribo=RIBO)
 
 
+def branded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as genes that many others share their names with."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene_pos"), F.col("p_brand").alias("gene_name"))
+
+
 def expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cell_id"), F.col("l_partkey").alias("gene_id"))
     return items.agg(F.sum("l_quantity").alias("value"))

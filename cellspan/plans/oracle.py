@@ -198,6 +198,31 @@ SAMPLED_CELLS = """
 SELECT c_custkey AS cell_id FROM customer ORDER BY md5('7|' || CAST(c_custkey AS VARCHAR)), c_custkey LIMIT 50
 """
 
+NAMES_UNIQUE = """SELECT 'p_brand' AS name, count(DISTINCT coalesce(p_brand, '')) = count(*) AS is_unique FROM part
+UNION ALL SELECT 'p_partkey', count(DISTINCT p_partkey) = count(*) FROM part"""
+CLEAN_GENES = """SELECT p_partkey AS gene_pos, p_brand || CASE WHEN k = 0 THEN '' ELSE '-' || k END AS gene_name
+FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k FROM part)"""
+CLEAN_RAW_GENES = """SELECT p_partkey AS gene_pos, CASE WHEN (SELECT count(DISTINCT p_brand) < count(*) FROM part) THEN p_brand || '_' || p_partkey ELSE p_brand END AS gene_name FROM part"""
+CATEGORICAL_CLUSTERS = """SELECT s_suppkey AS cell_id, CAST(s_nationkey AS VARCHAR) AS louvain, CAST(s_nationkey % 3 AS VARCHAR) AS leiden_coarse, CAST(s_nationkey AS INTEGER) AS batch FROM supplier"""
+EMBEDDING_KEYS = f"WITH {_MANIFEST} SELECT atlas, key, pos FROM m WHERE slot = 1"
+SEURAT_ANNOTATION = VIABLE_ANNOTATION.replace("missing = 0 AND ", "")
+SEURAT_SUMMARY = """WITH c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), g AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1)
+SELECT 'Seurat' AS "AtlasFileType", coalesce(c.n, 0) AS "NbCells", coalesce(g.n, 0) AS "NbGenes", false AS "AnnData.raw", true AS "AnnData.X", '.rds' AS "File_extension",
+  '/atlases/' || n_name || '.rds' AS "File_path" FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN g ON g.k = n_nationkey"""
+SEURAT_STRUCTURE = f"""WITH {_MANIFEST}
+SELECT atlas, {', '.join(_slot(k, n) for k, n in ((0, 'atlas_obs'), (1, 'obsm'), (4, 'uns')))}, '<code></code>' AS var, '<code></code>' AS varm FROM m GROUP BY atlas"""
+REDUCTION_METRICS = f"""SELECT 'scanpy_low' AS "Dimred_Sample", 'low' AS obsm, ({KRUSKAL_STRESS}) AS kruskal_stress, 0.0::DOUBLE AS spearman_rho
+UNION ALL SELECT 'seurat_low', 'low', NULL, NULL"""
+PROJECTION_ATTACH = "SELECT 'X_umap' AS obsm_key, c_custkey AS cell_id, round(c_acctbal::DOUBLE, 6) AS x, c_nationkey::DOUBLE AS y FROM customer"
+PROJECTION_SKIPPED = "SELECT 'all' AS rows, true AS taken UNION ALL SELECT 'some', count(*) FILTER (c_acctbal > 0) = count(*) FROM customer"
+ATLAS_LOOKUP = f"""WITH {_PATHS}, r AS (
+  SELECT regexp_extract("Atlas_path", '/(run[0-9]+)/', 1) AS run, CASE "Atlas_type" WHEN 'AnnData' THEN 1 WHEN 'Seurat' THEN 3 ELSE 2 END AS family, * FROM c)
+SELECT run AS "Atlas_name", "Atlas_type", "Atlas_extension", "Atlas_path" FROM r WHERE family > 1 OR CAST(run[4:] AS INTEGER) % 2 = 1
+QUALIFY row_number() OVER (PARTITION BY run ORDER BY family, seq DESC) = 1"""
+MATRIX_MARKET = """SELECT CAST(l_suppkey AS VARCHAR) AS cell_id, 'gene' || l_partkey % 20 AS gene_id, round(sum(l_quantity)::DOUBLE, 6) AS value
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL"""
+GENE_METRIC_LOOKUP = f"WITH {_MEANS} " + " UNION ALL ".join(f"SELECT gene, round(value, 6) AS value, '{m}' AS metric FROM {t}" for m, t in (("shannon", "sh"), ("tau", "ta"), ("gini", "gi")))
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -240,4 +265,19 @@ def oracle_sql() -> dict[str, str]:
         "marker_intersection": MARKER_INTERSECTION,
         "violin_summary": VIOLIN_SUMMARY,
         "sampled_cells": SAMPLED_CELLS,
+        "names_unique": NAMES_UNIQUE,
+        "clean_genes": CLEAN_GENES,
+        "clean_raw_genes": CLEAN_RAW_GENES,
+        "categorical_clusters": CATEGORICAL_CLUSTERS,
+        "embedding_keys": EMBEDDING_KEYS,
+        "seurat_annotation": SEURAT_ANNOTATION,
+        "seurat_summary": SEURAT_SUMMARY,
+        "seurat_structure": SEURAT_STRUCTURE,
+        "reduction_metrics": REDUCTION_METRICS,
+        "projection_attach": PROJECTION_ATTACH,
+        "projection_skipped": PROJECTION_SKIPPED,
+        "atlas_lookup": ATLAS_LOOKUP,
+        "matrix_market": MATRIX_MARKET,
+        "gene_metric_lookup": GENE_METRIC_LOOKUP,
+        "seurat_qc_cellrank": QC_CELLRANK,
     }
