@@ -12,8 +12,9 @@ the text:
 
 What step 1 makes is written once in the shared folder, in buckets by block: both its readers see the same blocks, a lost executor
 repeats single tasks, and step 3 shuffles the answers alone, as the number sequences lie where they are needed.  A word
-that all texts hold costs one entry a block, wherever it is; no bucket gets more of it.  Memory is bounded by a
-block, and by the distinct words of one bucket.
+that all texts hold costs one entry a block, wherever it is; no bucket gets more of it.  There is a bucket for every ``BUCKET``
+characters of the table (and for every shuffle partition, at least), and a worker takes one after the other, so memory is bounded by a
+block and by the distinct words of one bucket, however large the table is.
 
 Decoding looks each id up in the token-byte table (a fixed vocabulary of some 50,000 entries, read by each worker from its
 file) and concatenates, for many texts at once.
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from cellspan.llm import pretokens
 from cellspan.llm.common import materialise_bucketed, shuffle_partitions, text_or_empty
 
-#: Characters of a block (more only if a single text is longer), and ids that are decoded in one go.
-BLOCK, DECODED = 8 << 20, 1 << 19
+#: Characters of a block (more only if a single text is longer), ids that are decoded in one go, and characters for which there is a bucket of words.
+BLOCK, DECODED, BUCKET = 8 << 20, 1 << 19, 1 << 27
 
 _ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
@@ -113,16 +114,14 @@ def _split_blocks(buckets: int, kind: str):
         common_first = np.argsort(-np.bincount(sequence, minlength=len(numbers)), kind="stable")
         rank = np.empty(len(numbers), np.uint32)
         rank[common_first] = np.arange(len(numbers), dtype=np.uint32)
-        of_bucket: list[list[str]] = [[] for _ in range(buckets)]
+        of_bucket: dict[int, list[str]] = {}
         for w in numbers:
-            of_bucket[crc32(w.encode("utf-8", "surrogatepass")) % buckets].append(w)
-        parts, packets, order = [], [], []
-        for b, mine in enumerate(of_bucket):
-            if mine:
-                mine.sort()
-                order.append(np.fromiter(map(numbers.__getitem__, mine), np.int64, len(mine)))
-                parts.append(b)
-                packets.append(pack_strings(mine))
+            of_bucket.setdefault(crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
+        parts, packets, order = sorted(of_bucket), [], []
+        for b in parts:
+            mine = sorted(of_bucket[b])
+            order.append(np.fromiter(map(numbers.__getitem__, mine), np.int64, len(mine)))
+            packets.append(pack_strings(mine))
         ranks = rank[np.concatenate(order)] if order else np.zeros(0, np.uint32)
         lengths = np.array([len(x) for x in sequences], np.uint32)
         texts = _join([pack_numbers(ranks), pack_numbers(lengths), pack_numbers(rank[sequence])])
@@ -147,14 +146,18 @@ def _parts(data: bytes) -> list[bytes]:
 
 
 def _encode_words(path: str | None):
-    """Step 2: answer packets of words with packets of ids; each distinct word of the bucket is encoded once."""
+    """Step 2: answer packets of words, sorted by bucket, with packets of ids; each distinct word of a bucket is encoded once."""
     schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pretokens.rank_encoder(path)._core_bpe
         known: dict[bytes, list[int]] = {}
+        now = None
         for batch in batches:
             for name, part, data in zip(*(batch.column(i) for i in range(3)), strict=True):
+                if part.as_py() != now:
+                    now = part.as_py()
+                    known.clear()
                 words = unpack_strings(data.as_py())
                 for w in words:
                     if w not in known:
@@ -211,15 +214,17 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     With ``decoded`` the ids are decoded again where they are put together, as :func:`decode` would, into a column of that name.
     """
     spark = df.sparkSession
-    buckets = shuffle_partitions(spark)
+    tasks = shuffle_partitions(spark)
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
     if kind not in _ID_TYPES:
         raise TypeError(f"{id_col} is {kind}; ids are bigint, int or string")
+    chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    buckets = max(tasks, -(-chars // BUCKET))
     packed = f"block long, part long, words binary, ids array<{kind}>, texts binary"
-    blocks = materialise_bucketed(rows.mapInArrow(_split_blocks(buckets, kind), packed), "word-blocks", buckets, "block")
+    blocks = materialise_bucketed(rows.mapInArrow(_split_blocks(buckets, kind), packed), "word-blocks", tasks, "block")
     words = blocks.where("part >= 0").select("block", "part", "words")
-    answers = words.repartition(buckets, "part").mapInArrow(_encode_words(path), "block long, part long, words binary")
+    answers = words.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_encode_words(path), "block long, part long, words binary")
     texts = blocks.where("part < 0").select("block", "ids", "texts")
     made = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _reassemble(kind, decoded, path), f"id {kind}, n_tokens long, ids binary" + ", decoded binary" * decoded

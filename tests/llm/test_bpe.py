@@ -8,9 +8,10 @@ from cellspan.llm import bpe, pretokens, queries
 
 
 @pytest.mark.parametrize("table", ["docs", "edge"])
-@pytest.mark.parametrize("block", [bpe.BLOCK, 5000])
-def test_ids_match_the_library_and_decode(table, block, request, monkeypatch):
+@pytest.mark.parametrize("block, bucket", [(bpe.BLOCK, bpe.BUCKET), (5000, bpe.BUCKET), (20_000, 3_000)])
+def test_ids_match_the_library_and_decode(table, block, bucket, request, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK", block)
+    monkeypatch.setattr(bpe, "BUCKET", bucket)
     df = request.getfixturevalue(table)
     encoder = pretokens.rank_encoder()
     want = []
