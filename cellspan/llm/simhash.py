@@ -16,9 +16,10 @@ Copies at a given share of common shingles need more bits than 64 to be told apa
 ``PLANE_RADIUS`` bits at most, which the tiles find, and all together in ``WITHIN`` of 256, which is looked at for those
 pairs only.  A share (Jaccard) of 0.8 of five-word shingles makes 39 of 256 bits differ on average, with a deviation of 6; unrelated texts differ in 128.
 
-Where a ``share`` is asked for, the fingerprints (then of a text's distinct shingles) only search: they link at the wider ``CANDIDATES`` bits, and what a task
-has linked is compared again by the shingles themselves, each pair of candidates that nothing else has united yet.  Local groups of more than
-``BLOCK`` texts are compared by pairs of blocks, so no task holds more than two blocks of texts.  Texts with equal sets of shingles are one node.
+Where a ``share`` is asked for, the fingerprints (then of a text's distinct shingles) only search: they link at the wider ``CANDIDATES`` bits, and candidate pairs
+are compared again by the shingles themselves, each that nothing else has united yet.  Components of candidates are cut into blocks of about ``BLOCK`` texts: first each block is compared
+with itself and with the first block, which unites a large group of copies with three copies of each text; then only pairs that are still apart are compared, block by block, within the local
+groups that hold them.  No task holds more than two blocks of texts.  Texts with equal sets of shingles are one node.
 
 The driver sees 65 class sizes and no fingerprint.  Comparisons grow with the square of the number of distinct fingerprints, as
 the method does; the shuffle grows with its power 1.5 at most.
@@ -35,7 +36,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellspan.llm.common import materialise, row_hash, text_or_empty, unused
@@ -265,32 +266,61 @@ def link_components(
             meets.setdefault(b, []).append(2 * p + 1)
     met = _compared(grouped, spark.sparkContext.broadcast((pairs, meets)), len(pairs), radius, within)
     if texts is not None:
-        return components(_verified(prints, materialise(met, "candidates"), texts, words, within, share))
+        return _verified(prints, materialise(met, "candidates"), texts, words, radius, within, share)
     return components(met.select("node", F.struct("pair", "least").alias("local"), "least"))
 
 
-def _verified(prints: DataFrame, met: DataFrame, texts: DataFrame, words: int, within: int, share: float) -> DataFrame:
-    """``(node, local, least)``: the candidates' local groups, as the shingles of their texts link them."""
-    wanted = prints.join(met.select("node").distinct(), "node").select("node", "key")
-    found = materialise(wanted.join(texts, "key").groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
-    # Each pair of a local group's blocks is a unit of work; a group of one block is a single unit.
-    block, last = F.floor(F.col("place") / BLOCK).cast("int"), F.floor((F.col("size") - 1) / BLOCK).cast("int")
-    dealt = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    unit = F.struct("pair", "least", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    # Where two blocks meet, pairs within either are left to the unit of that block alone.
-    dealt = dealt.select("node", unit.alias("local"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
-    held = dealt.join(prints.select("node", "fingerprint", "more"), "node").join(found, "node")
-    held = held.select("local", "side", "node", "fingerprint", "more", "text", F.xxhash64("local").alias("name")).repartition("local").sortWithinPartitions("local")
+def _verified(prints: DataFrame, met: DataFrame, texts: DataFrame, words: int, radius: int, within: int, share: float) -> DataFrame:
+    """``(node, component)`` of the candidates in ``met(node, least, pair)``, as the shingles of their texts link them."""
+    of = components(met.select("node", F.struct("pair", "least").alias("local"), "least"))
+    wanted = prints.join(of, "node").select("node", "fingerprint", "more", "key").join(texts, "key")
+    found = materialise(wanted.groupBy("node").agg(*[F.first(c).alias(c) for c in ("fingerprint", "more", "text")]), "candidate-texts")
+
+    def verified(dealt: DataFrame, a: str, b: str, name: str) -> DataFrame:
+        """Links of ``dealt(node, label, block, other, a, b)``: a unit is a block, or a block and another."""
+        unit = F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        # Where two blocks meet, pairs within either are left to the unit of that block alone.
+        dealt = dealt.select("node", "label", unit.alias("local"), F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
+        held = dealt.join(found, "node").select("local", "side", "label", "fingerprint", "more", "text", F.xxhash64("local").alias("name"))
+        made = held.repartition("local").sortWithinPartitions("local").mapInArrow(_verify_units(words, radius, within, share), "node long, least long, name long")
+        return materialise(made.select("node", F.struct("name", "least").alias("local"), "least"), name)
+
+    # Round one: each block by itself and with the first block of its component; three copies of a text, whatever the size.
+    sizes = materialise(of.groupBy("component").agg(F.count("*").alias("size")), "candidate-sizes")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = of.join(sizes, "component").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    others = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
+    dealt = dealt.select("node", F.col("node").alias("label"), "block", F.explode(others).alias("other"), "component", F.lit(-1).cast("long").alias("none"))
+    links = verified(dealt, "component", "none", "links")
+    # With one or two blocks that was every pair.
+    large = of.join(sizes.where(F.col("size") > 2 * BLOCK), "component", "left_semi").select("node")
+    if large.isEmpty():
+        return components(links)
+    # Round two: of each local group the pairs with different labels, which takes what isn't in the group's commonest label, against all of it.
+    labels = components(links).select("node", F.col("component").alias("label"))
+    labelled = materialise(met.join(large, "node", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled-candidates")
+    commonest = labelled.groupBy("pair", "least", "label").agg(F.count("*").alias("n")).groupBy("pair", "least")
+    undone = commonest.agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size")).where("most.n < size")
+    # A local group has the fingerprints of two groups at most, so the window is bounded.
+    place = F.row_number().over(Window.partitionBy("pair", "least").orderBy(F.col("label") == F.col("most.label"), "node")) - 1
+    dealt = labelled.join(undone, ["pair", "least"]).withColumn("block", F.floor(place / BLOCK).cast("int"))
+    rest, last = (F.floor((n - 1) / BLOCK).cast("int") for n in (F.col("size") - F.col("most.n"), F.col("size")))
+    others = F.sequence(F.lit(0), F.when(F.col("block") <= rest, last).otherwise(rest))
+    more = verified(dealt.select("node", "label", "block", F.explode(others).alias("other"), "pair", "least"), "pair", "least", "further-links")
+    return components(links.unionByName(more))
+
+
+def _verify_units(words: int, radius: int, within: int, share: float):
+    """Compare the texts of each unit (sorted by unit) and give the labels that links unite, with the smallest of them."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
-            for local, *row, name in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for local, side, label, fingerprint, more, text, name in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if local != now:
                     yield from finished(rows)
                     now, rows = local, []
-                side, node, fingerprint, more, text = row
-                rows.append((name, local["low"] == local["high"], side, node, fingerprint, more, shingles_of(text, words)))
+                rows.append((name, local["low"] == local["high"], side, label, fingerprint, more, shingles_of(text, words)))
         yield from finished(rows)
 
     def finished(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -298,41 +328,46 @@ def _verified(prints: DataFrame, met: DataFrame, texts: DataFrame, words: int, w
             return
         prints = np.array([np.frombuffer(np.int64(r[4]).tobytes() + r[5], np.uint64) for r in rows])
         side = None if rows[0][1] else np.array([r[2] for r in rows])
-        group = shared_shingles(prints, [r[6] for r in rows], side, within, share)
-        nodes, at = np.array([r[3] for r in rows], np.int64), np.flatnonzero(np.bincount(group, minlength=len(rows))[group] > 1)
-        least = np.full(len(rows), np.iinfo(np.int64).max, np.int64)
-        np.minimum.at(least, group, nodes)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(least[group][at]), pa.array(np.full(len(at), rows[0][0], np.int64))], names=["node", "least", "name"])
-
-    return held.mapInArrow(verify, "node long, least long, name long").select("node", F.struct("name", "least").alias("local"), "least")
-
-
-def shared_shingles(prints: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, within: int, share: float) -> np.ndarray:
+        labels, at = np.unique(np.array([r[3] for r in rows], np.int64), return_inverse=True)
+        group = shared_shingles(prints, [r[6] for r in rows], side, radius, within, share, at)
+        of_label = np.zeros(len(labels), np.int64)
+        of_label[at] = group
+        united = np.flatnonzero(np.bincount(of_label, minlength=len(labels))[of_label] > 1)
+        least = np.full(len(labels), np.iinfo(np.int64).max, np.int64)
+        np.minimum.at(least, of_label, labels)
+        if len(united):
+            yield pa.RecordBatch.from_arrays([pa.array(labels[united]), pa.array(least[of_label][united]), pa.array(np.full(len(united), rows[0][0], np.int64))], names=["node", "least", "name"])
+
+    return verify
+
+
+def shared_shingles(
+    prints: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, radius: int, within: int, share: float, group: np.ndarray | None = None
+) -> np.ndarray:
     """A group number for each text: united are those that a chain of candidate pairs with ``share`` of common shingles joins.
 
-    ``prints`` are rows of fingerprints; with ``side`` only pairs of different sides are looked at.
+    ``prints`` are rows of fingerprints; with ``side`` only pairs of different sides are looked at; texts of one number in ``group`` are united from the start.
     """
     n, sizes = len(sets), np.array([len(x) for x in sets])
-    group = np.arange(n)
+    group = np.arange(n) if group is None else group.copy()
     for i in range(n - 1):
         later = np.arange(i + 1, n)
-        near = np.bitwise_count(prints[i + 1 :] ^ prints[i]).sum(axis=1, dtype=np.int64) <= within
+        apart = np.bitwise_count(prints[i + 1 :] ^ prints[i])
+        near = (apart[:, 0] <= radius) & (apart.sum(axis=1, dtype=np.int64) <= within)
         near &= (group[later] != group[i]) & (np.minimum(sizes[later], sizes[i]) >= share * np.maximum(sizes[later], sizes[i]) - 1e-9)
         if side is not None:
             near &= side[later] != side[i]
-        same = []
         for j in later[near]:
+            if group[j] == group[i]:  # by one of those before
+                continue
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if common >= share * (sizes[i] + sizes[j] - common) - 1e-9:
-                same.append(group[j])
-        if same:
-            group[np.isin(group, same)] = group[i]
+                group[group == group[j]] = group[i]
     return group
 
 
 def _compared(grouped: DataFrame, shared, n_pairs: int, radius: int, within: int | None) -> DataFrame:
-    """``(node, least, pair, place, size)``: groups meet by pair, and each pair of groups is compared in one task; place and size are of the local group."""
+    """``(node, least, pair)``: groups meet by pair, and each pair of groups is compared in one task."""
     kinds = [("pair", pa.int64()), ("side", pa.int64()), ("prints", pa.binary()), ("nodes", pa.binary()), ("more", pa.binary())]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,17 +402,14 @@ def _compared(grouped: DataFrame, shared, n_pairs: int, radius: int, within: int
         if not sides[0] or not same and not sides[1]:
             return
         nodes, least = local_groups(side_of(sides[0]), None if same else side_of(sides[1]), radius, within)
-        order = np.argsort(least, kind="stable")
-        nodes, least = nodes[order], least[order]
-        _, first, inverse, counts = np.unique(least, return_index=True, return_inverse=True, return_counts=True)
-        columns = (nodes, least, np.full(len(nodes), pair, np.int64), np.arange(len(nodes)) - first[inverse], counts[inverse])
         for i in range(0, len(nodes), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in columns], names=["node", "least", "pair", "place", "size"])
+            part = slice(i, i + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(least[part]), pa.array(np.full(len(nodes[part]), pair, np.int64))], names=["node", "least", "pair"])
 
     wide = "pair long, side long, prints binary, nodes binary, more binary"
     tasks = max(1, min(n_pairs, 100_000))
     dealt = grouped.mapInArrow(deal, wide).repartition(tasks, "pair").sortWithinPartitions("pair")
-    return dealt.mapInArrow(compare, "node long, least long, pair long, place long, size long")
+    return dealt.mapInArrow(compare, "node long, least long, pair long")
 
 
 def hex_digits(column: str) -> Column:

@@ -177,3 +177,22 @@ def test_share_of_shingles_decides(spark, docs, edge, monkeypatch, block):
     got = {r.doc_id for r in simhash.one_of_each(df, share=0.8).collect()}
     assert {30_000, 30_001} <= got and got == want
     assert simhash.one_of_each(edge, share=0.8).count() == len(set(brute([shingle_set(r.text) for r in edge.collect()], list(range(edge.count())), alike)))
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_chains_are_followed_over_blocks(spark, monkeypatch, block):
+    """Only texts that are close in the chain link, so the first block alone doesn't unite it."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rows = []
+    for c in range(3):
+        words = [f"c{c}w{i}" for i in range(300)]
+        for k in range(18):
+            rows.append((100 * c + k, " ".join(words)))
+            words[15 * k : 15 * (k + 1)] = [f"c{c}k{k}i{i}" for i in range(15)]
+        if c == 2:
+            del rows[-10]  # a gap: two chains
+    sets = [shingle_set(t) for _, t in rows]
+    want = set(brute(sets, [i for i, _ in rows], alike))
+    assert len(want) == 4 and not alike(sets[0], sets[3])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.one_of_each(df, share=0.8).collect()} == want
