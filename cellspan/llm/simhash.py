@@ -52,8 +52,8 @@ GROUPS = 2_000
 COPY_WORDS, PLANES, PLANE_RADIUS, WITHIN = 5, 4, 20, 42
 #: The share of common shingles of near copies, the bits of all fingerprints that may differ for their shingles to be compared, and texts of a block.
 SHARE, CANDIDATES, BLOCK = 0.8, 60, 512
-#: Shingles that are hashed in one go.
-CHUNK = 1 << 17
+#: Shingles that are hashed in one go, and links of a tile pair that are looked at in one go.
+CHUNK, LINKS = 1 << 17, 1 << 16
 
 
 def fingerprints_of(text: str, words: int = WORDS, planes: int = 1) -> np.ndarray:
@@ -202,16 +202,19 @@ def local_groups(left: Side, right: Side | None, radius: int = RADIUS, within: i
         near = np.flatnonzero(gap <= radius)
         for j in near[near >= k] if right is None else near:
             c, d = columns[j]
-            x, y = np.nonzero(np.bitwise_count(prints[a:b, None] ^ prints[None, c:d]) <= radius)
-            x, y = x + a, y + c
-            if right is None:
-                x, y = x[x < y], y[x < y]
-            if within is not None and len(x):
-                apart = np.bitwise_count(prints[x] ^ prints[y]) + np.bitwise_count(more[x] ^ more[y]).sum(axis=1, dtype=np.int64)
-                x, y = x[apart <= within], y[apart <= within]
-            if len(x):
-                linked[x] = linked[y] = True
-                unions.link(x, y)
+            found = np.flatnonzero(np.bitwise_count(prints[a:b, None] ^ prints[None, c:d]) <= radius)
+            # A tile pair of near copies links as a whole, so its links are taken in parts.
+            for start in range(0, len(found), LINKS):
+                x, y = np.divmod(found[start : start + LINKS], d - c)
+                x, y = x + a, y + c
+                if right is None:
+                    x, y = x[x < y], y[x < y]
+                if within is not None and len(x):
+                    apart = np.bitwise_count(prints[x] ^ prints[y]) + np.bitwise_count(more[x] ^ more[y]).sum(axis=1, dtype=np.int64)
+                    x, y = x[apart <= within], y[apart <= within]
+                if len(x):
+                    linked[x] = linked[y] = True
+                    unions.link(x, y)
     at = np.flatnonzero(linked)
     roots = unions.roots()[at]
     least = np.full(len(prints), np.iinfo(np.int64).max, np.int64)
