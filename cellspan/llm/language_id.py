@@ -31,7 +31,7 @@ LEAST_SCORE = 0.5
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
 #: Numbers (characters x languages) that are gathered in one go.
-GATHERED = 1 << 22
+GATHERED = 1 << 20
 
 
 def clean(text: str | None) -> str:
